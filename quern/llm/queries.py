@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, packing, sharding, store, tokencount
+from . import chat, decontam, langid, packing, sharding, store, substring, tokencount
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 16 << 20
@@ -41,6 +41,11 @@ def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "perspective", "part", "n_turns", "start", "text", spans.alias("spans"), "n_masked")
 
 
+def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), CAPACITY, keep_ids=False)
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op3_language_id": op3_language_id,
     "op4_perspective_rotation": op4_perspective_rotation,
+    "op6_difference_cover": op6_difference_cover,
     "op7_best_two_fit": op7_best_two_fit,
     "op9_separator_scan": op9_separator_scan,
     "op10_decontamination": op10_decontamination,
