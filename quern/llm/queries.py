@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, packing, sharding, store, substring, tokencount
+from . import chat, decontam, langid, minhash, packing, sharding, store, substring, tokencount
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 16 << 20
@@ -27,6 +27,10 @@ def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES, columns=["doc_id"])
 
 
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -63,6 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
+    "op2_dart_minhash": op2_dart_minhash,
     "op3_language_id": op3_language_id,
     "op4_perspective_rotation": op4_perspective_rotation,
     "op6_difference_cover": op6_difference_cover,
