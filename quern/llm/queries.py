@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, minhash, packing, sharding, store, substring, tokencount
+from . import chat, decontam, langid, linededup, minhash, packing, sharding, store, substring, tokencount
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 16 << 20
@@ -45,6 +45,11 @@ def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "perspective", "part", "n_turns", "start", "text", spans.alias("spans"), "n_masked")
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -70,9 +75,10 @@ QUERIES = {
     "op2_dart_minhash": op2_dart_minhash,
     "op3_language_id": op3_language_id,
     "op4_perspective_rotation": op4_perspective_rotation,
+    "op5_line_templates": op5_line_templates,
     "op6_difference_cover": op6_difference_cover,
     "op7_best_two_fit": op7_best_two_fit,
     "op9_separator_scan": op9_separator_scan,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_line_templates": linededup.oracle()}

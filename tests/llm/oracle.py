@@ -1,0 +1,30 @@
+"""A query's SQL on the same tables, compared as the driver does."""
+
+import os
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def connect(folder):
+    c = duckdb.connect()
+    for t in TABLES:
+        p = f"{folder}/{t}.parquet"
+        if os.path.isdir(p):
+            p += "/*.parquet"
+        c.sql(f"create view {t} as select * from '{p}'")
+    return c
+
+
+def rows(frame):
+    names = sorted(frame.columns)
+    return sorted(frame[names].astype(str).itertuples(index=False, name=None))
+
+
+def same(spark_frame, sql, folder):
+    want = connect(folder).sql(sql).df()
+    got = spark_frame.toPandas()
+    assert sorted(want.columns) == sorted(got.columns)
+    assert rows(got) == rows(want)
+    return got
