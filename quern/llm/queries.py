@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, minhash, packing, sharding, store, substring, tokencount
+from . import ann, chat, decontam, langid, linededup, minhash, packing, sharding, store, substring, tokencount
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 16 << 20
@@ -59,6 +59,11 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), CAPACITY, keep_ids=False)
 
 
+def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.knn(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = store.new_path(spark, "token-files")
     tokencount.write(table(spark, sf_dir, "documents"), folder, tokenizer_file())
@@ -78,6 +83,7 @@ QUERIES = {
     "op5_line_templates": op5_line_templates,
     "op6_difference_cover": op6_difference_cover,
     "op7_best_two_fit": op7_best_two_fit,
+    "op8_pruned_graph": op8_pruned_graph,
     "op9_separator_scan": op9_separator_scan,
     "op10_decontamination": op10_decontamination,
 }
