@@ -26,8 +26,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class stays, once; rows without an id stay as they are."""
+    others = minhash.classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
+    kept = docs.join(others, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
