@@ -6,7 +6,7 @@ import pytest
 
 from quern.llm import linededup, queries
 
-from . import oracle
+from .. import oracle
 from .samples import awkward, docs, prose
 
 
@@ -93,4 +93,4 @@ def test_repeated_rows_and_null_ids(spark):
 def test_query(spark, scale):
     d = f"/root/testdata/{scale}"
     got = oracle.same(queries.op5_line_templates(spark, d), queries.ORACLES["op5_line_templates"], d)
-    assert (got["n_dropped"] > 0).any()
+    assert any(r["n_dropped"] for r in got)
