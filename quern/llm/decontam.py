@@ -228,6 +228,9 @@ def digest(found: DataFrame, threshold: int = 2) -> DataFrame:
     return found.select("doc_id", "n_words", span.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= threshold).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = 8, threshold: int = 2) -> DataFrame:
-    """``docs`` without the documents that hold windows of ``threshold`` items or more; the others stay as they are."""
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 8, threshold: int = 1) -> DataFrame:
+    """``docs`` without the documents that hold windows of ``threshold`` items or more; the others stay as they are.
+
+    One item's window is a leak, so by default one is enough to go; ``digest`` has its own threshold.
+    """
     return hits(docs, benchmark, size, keep_row=True).where(F.size("items") < threshold).select("row.*")

@@ -59,7 +59,7 @@ def test_clean_keeps_columns(spark):
     source = docs(spark, texts)
     kept = decontam.clean(source, spark.createDataFrame(items, "item_id long, text string"))
     assert kept.columns == source.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in brute(texts, items, 8) if not r[5]]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in brute(texts, items, 8) if not r[3]]
 
 
 def test_empty(spark):
