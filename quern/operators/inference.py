@@ -223,3 +223,8 @@ def require_reproduced(now: DataFrame, stored: DataFrame, keys: list[str], value
 
     both = now.select(*keys, F.col(value).alias("_now")).join(stored.select(*keys, F.col(value).alias("_then")), keys, "full")
     quality.require_none(both, ~F.coalesce(F.abs(F.col("_now") - F.col("_then")) <= tolerance, F.col("_now").isNull() & F.col("_then").isNull()), f"{value} is not what was stored")
+
+
+def spec_counts(results: DataFrame, by: list[str], p: str = "p_value") -> DataFrame:
+    """How many specifications there are of each kind, how many were estimated and how many are significant at 5%."""
+    return results.groupBy(*by).agg(F.count("*").alias("n_specs"), F.count(p).alias("n_estimated"), F.count_if(F.col(p) < 0.05).alias("n_significant"))

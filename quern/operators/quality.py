@@ -117,5 +117,26 @@ def within_domain(df: DataFrame, column: str, domain: list) -> DataFrame:
     return df.agg(extra.alias("extra")).select((F.size("extra") == 0).alias("ok"), "extra")
 
 
+def short_texts(df: DataFrame, words: str, least: int = 200) -> DataFrame:
+    """Texts below so many words, shortest first."""
+    return df.where(F.col(words) < least).orderBy(words, *[c for c in df.columns if c != words][:1])
+
+
+def corpus_audit(raw: DataFrame, date: str, title: str, contents: str) -> dict[str, DataFrame]:
+    """nulls by column, duplicates (all columns; date and title), lengths in characters and words, coverage by year with gaps."""
+    from ..functions import text
+    from . import relational
+
+    lengths = raw.select(text.char_length(F.col(contents)).alias("chars"), text.word_count(F.col(contents)).alias("words"))
+    years = raw.where(F.col(date).isNotNull()).groupBy(F.year(date).alias("year")).agg(F.count("*").alias("n"))
+    spine = years.agg(F.min("year").alias("a"), F.max("year").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("year"))
+    return {
+        "nulls": null_audit(raw),
+        "duplicates": duplicate_audit(raw, raw.columns).withColumn("keys", F.lit("all")).unionByName(duplicate_audit(raw, [date, title]).withColumn("keys", F.lit("date and title"))),
+        "lengths": relational.describe(lengths, "chars").withColumn("unit", F.lit("characters")).unionByName(relational.describe(lengths, "words").withColumn("unit", F.lit("words"))),
+        "years": spine.join(years, "year", "left").fillna(0, ["n"]),
+    }
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import scalars, text
 from ..operators import ordered, panel as panels, quality, relational, sampling
 from .catalogue import PANEL_SQL, panel, query, r6, table
 
@@ -225,3 +225,28 @@ def chained_join(spark, sf_dir):
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
     return j.groupBy("n_name", ordered.month_label(F.col("o_orderdate")).alias("month")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""SELECT o_orderkey, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, o_totalprice / 290001)), 6) AS clipped, round_even(o_orderkey / 2.0::DOUBLE, 0)::BIGINT AS halves, printf('%+d', outl) AS sign, CASE o_custkey % 3 WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'other' END AS name,
+ (att + outl + att_b)::INT AS total, contains(o_orderkey::VARCHAR, '7') AS has_seven, (date_trunc('quarter', d) - INTERVAL 3 MONTH)::DATE AS before FROM """ + PANEL_SQL + " WHERE o_orderkey <= 5000")
+def scalar_functions(spark, sf_dir):
+    p = panel(spark, sf_dir).where("o_orderkey <= 5000")
+    key = F.col("o_orderkey")
+    return p.select("o_orderkey", r6(scalars.clip(F.col("o_totalprice") / 290001, 0.0, 1.0)).alias("clipped"), scalars.round_even(key / F.lit(2.0)).cast("long").alias("halves"), scalars.signed(F.col("outl")).alias("sign"), scalars.mapped(F.col("o_custkey") % 3, {0: "zero", 1: "one"}, "other").alias("name"), scalars.row_sum([F.col("att"), F.col("outl"), F.col("att_b")]).alias("total"), scalars.contained(F.lit("7"), key.cast("string")).alias("has_seven"), scalars.shift_quarters(F.col("d"), -1).alias("before"))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey LIMIT 30")
+def mixed_sort(spark, sf_dir):
+    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderpriority"), "o_totalprice", "o_orderkey").limit(30).select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT o_custkey, bool_or(o_orderstatus = 'F') AS any_final, bool_and(o_totalprice > 50000) AS all_large, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS dearest, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS cheapest FROM orders GROUP BY 1")
+def any_all_extremes(spark, sf_dir):
+    by = F.struct("o_totalprice", "o_orderkey")
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("any_final"), F.bool_and(F.col("o_totalprice") > 50000).alias("all_large"), F.max_by("o_orderkey", by).alias("dearest"), F.min_by("o_orderkey", by).alias("cheapest"))
+
+
+@query("SELECT year, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(1995, 2002))::INT AS year) LEFT JOIN (SELECT year(o_orderdate)::INT AS year, count(*) AS n FROM orders WHERE year(o_orderdate) <> 1998 GROUP BY 1) USING (year)")
+def year_coverage(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("year(o_orderdate) <> 1998").select(F.col("o_orderdate").alias("date"), F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("contents"))
+    return quality.corpus_audit(o, "date", "title", "contents")["years"]

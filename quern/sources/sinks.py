@@ -70,3 +70,31 @@ def report(df: DataFrame, title: str, digits: int = 3, rows: int = 50) -> str:
     table = [df.columns, *[[cell(v, digits) for v in r] for r in got]]
     widths = [max(len(str(r[i])) for r in table) for i in range(len(df.columns))]
     return "\n".join([title, "=" * len(title), *["  ".join(str(v).rjust(w) for v, w in zip(r, widths, strict=True)) for r in table], ""])
+
+
+def svg_lines(df: DataFrame, x: str, ys: list[str], title: str, path: str, width: int = 800, height: int = 320) -> None:
+    """A line chart of a small frame, as SVG: no plotting library is needed. Missing values break a line."""
+    rows = df.orderBy(x).select(x, *ys).collect()
+    values = [float(r[y]) for r in rows for y in ys if r[y] is not None and r[y] == r[y]]
+    low, high = (min(values), max(values)) if values else (0.0, 1.0)
+    pad, span = 40, (high - low) or 1.0
+    at = lambda i, v: (pad + i * (width - 2 * pad) / max(len(rows) - 1, 1), height - pad - (v - low) * (height - 2 * pad) / span)
+    ink = ["#1b5e9e", "#c2571a", "#2e7d4f", "#7a4fa3", "#8a6d1d", "#5b6770"]
+    esc = lambda t: str(t).replace("&", "&amp;").replace("<", "&lt;")
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" font-family="sans-serif" font-size="11">', f'<text x="{pad}" y="18" font-size="13">{esc(title)}</text>']
+    out += [f'<text x="2" y="{at(0, v)[1]:.1f}">{v:.3g}</text>' for v in (low, high)]
+    if rows:
+        out += [f'<text x="{pad}" y="{height - 12}">{esc(rows[0][x])}</text>', f'<text x="{width - pad}" y="{height - 12}" text-anchor="end">{esc(rows[-1][x])}</text>']
+    for k, y in enumerate(ys):
+        d, pen = "", False
+        for i, r in enumerate(rows):
+            ok = r[y] is not None and r[y] == r[y]
+            if ok:
+                px, py = at(i, float(r[y]))
+                d += f"{'L' if pen else 'M'}{px:.1f},{py:.1f} "
+            pen = ok
+        colour = ink[k % len(ink)]
+        out += [f'<path d="{d.strip()}" fill="none" stroke="{colour}" stroke-width="1.5"/>', f'<text x="{width - pad - 120}" y="{18 + 13 * k}" fill="{colour}">{esc(y)}</text>']
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join([*out, "</svg>", ""]))

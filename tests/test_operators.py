@@ -292,3 +292,29 @@ def test_agreement_frames(spark):
     flags = spark.createDataFrame([(1, 0, "agree")], "a int, b int, f string")
     with pytest.raises(quality.GateError):
         agreement.require_flags_consistent(flags, "a", "b", "f")
+
+
+def test_sql_functions(spark):
+    from quern.functions import series, udfs
+
+    udfs.register(spark)
+    r = spark.sql("select clopper_pearson(3, 20) as ci, t_pvalue(2.0, 10.0) as p, binomial_cdf(3, 20, 0.2) as b, sign_test(5, 5) as s").first()
+    assert (r["ci"]["low"], r["ci"]["high"]) == pytest.approx(coders.clopper_pearson_ci(3, 20)) and r["p"] == pytest.approx(series.two_sided_t_pvalue(2.0, 10)) and r["s"] == 0.03125
+    rows = [(1, 1), (0, 1), (1, 1), (0, 0)]
+    spark.createDataFrame(rows, "a int, b int").createOrReplaceTempView("codes")
+    assert spark.sql("select cohen_kappa(a, b) as k from codes").first()["k"] == pytest.approx(coders.cohen_kappa(*zip(*rows), [0, 1])[1])
+    assert [tuple(x) for x in spark.sql("select * from section_diff('# A\\nx', '# A\\ny')").collect()] == [("A", "modified", "x"), ("A", "modified", "y")]
+
+
+def test_audit_and_chart(spark, tmp_path):
+    raw = spark.createDataFrame([(D(2000, 1, 1), "t", "one two"), (D(2000, 1, 1), "t", "one two"), (D(2002, 1, 1), "u", None)], "date date, title string, contents string")
+    out = {k: [r.asDict() for r in v.collect()] for k, v in quality.corpus_audit(raw, "date", "title", "contents").items()}
+    assert [r["n"] for r in sorted(out["years"], key=lambda r: r["year"])] == [2, 0, 1]
+    assert {r["column"]: r["n_null"] for r in out["nulls"]} == {"date": 0, "title": 0, "contents": 1}
+    assert {r["keys"]: (r["n_repeated"], r["n_involved"]) for r in out["duplicates"]} == {"all": (1, 2), "date and title": (1, 2)}
+    assert quality.short_texts(spark.createDataFrame([(5, "a"), (500, "b")], "w int, id string"), "w").count() == 1
+    path = tmp_path / "c.svg"
+    sinks.svg_lines(spark.createDataFrame([(1, 1.0, None), (2, 3.0, 2.0), (3, None, 1.0)], "x int, a double, b double"), "x", ["a", "b"], "A & B", str(path))
+    assert path.read_text().count("<path") == 2 and "A &amp; B" in path.read_text()
+    counts = inference.spec_counts(spark.createDataFrame([("a", 0.01), ("a", None), ("b", 0.2)], "k string, p_value double"), ["k"])
+    assert {r["k"]: (r["n_specs"], r["n_estimated"], r["n_significant"]) for r in counts.collect()} == {"a": (2, 1, 1), "b": (1, 1, 0)}
