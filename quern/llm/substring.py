@@ -6,7 +6,7 @@ brings both to cover positions; so of any two equal windows, the 7 words from
 that shift on are an anchor at a cover position in both. Only those anchors
 (three of seven positions) are hashed and compared over the corpus. Where an
 anchor stands in more than one document, the windows around it are extended to
-their 13 words and compared in full, by 128 bits of hash: a window whose words
+their 13 words and compared in full, by 96 bits of hash: a window whose words
 also start in a document with a smaller id is removed.
 
 Both comparisons deal hashes to buckets as packed arrays. Before that, a batch
@@ -36,11 +36,15 @@ WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of text whose hashes share a bucket, about.
 BUCKET_BYTES = 4 << 20
+#: Buckets of hashes for one bucket of documents: what is found is much less than what is compared.
+GATHERED = 4
 
-DEALT = "bucket int, h binary, g binary, doc binary, pos binary, settled binary"
-_DEALT = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("h", "g", "doc", "pos", "settled")]])
-FOUND = "doc_id long, pos binary"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("pos", pa.binary())])
+DEALT = "bucket int, n int, h binary, g binary, doc binary, pos binary, settled binary"
+_DEALT = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("h", "g", "doc", "pos", "settled")]])
+FOUND = "bucket int, n int, doc binary, pos binary"
+_FOUND = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("doc", pa.binary()), ("pos", pa.binary())])
+PLACES = "doc_id long, pos binary"
+_PLACES = pa.schema([("doc_id", pa.int64()), ("pos", pa.binary())])
 
 
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,28 +71,75 @@ def deal(h: np.ndarray, g: np.ndarray | None, doc: np.ndarray, pos: np.ndarray,
     """Rows as packed arrays by bucket. Settled rows (1) only pass through, so they are dealt by their document."""
     if not len(h):
         return pa.RecordBatch.from_pylist([], schema=_DEALT)
-    by = np.where(settled == 1, textscan.mix(doc.astype(np.uint64) + np.uint64(0x5DEECE66D)), h)
-    bucket = ((by >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    bucket = np.where(settled == 1, home(doc, buckets), ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32))
     order = np.argsort(bucket, kind="stable")
     names, begin = np.unique(bucket[order], return_index=True)
     ends = np.append(begin[1:], len(order))
-    columns = [x if x is None else x[order] for x in (h, g, doc, pos.astype(np.int32), settled.astype(np.uint8))]
-    packed = [pa.array([b"" if c is None else c[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary()) for c in columns]
-    return pa.record_batch([pa.array(names), *packed], schema=_DEALT)
+    columns = [None if x is None else x[order] for x in (h, g, doc, pos, settled)]
+    kinds = (_six, _six, _differences, _differences, _squeezed)
+    packed = [pa.array([b"" if c is None else pack(c[a:b]) for a, b in zip(begin, ends, strict=True)], pa.binary()) for c, pack in zip(columns, kinds, strict=True)]
+    return pa.record_batch([pa.array(names), pa.array((ends - begin).astype(np.int32)), *packed], schema=_DEALT)
 
 
-def undealt(table: pa.Table) -> list[np.ndarray]:
-    kinds = (np.uint64, np.uint64, np.int64, np.int32, np.uint8)
-    return [np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)]) for c, k in zip(("h", "g", "doc", "pos", "settled"), kinds, strict=True)]
+def _six(h: np.ndarray) -> bytes:
+    """The low 48 bits; a bucket's hashes differ there."""
+    return h.astype("<u4").tobytes() + (h >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    return pa.compress(x.astype(np.uint8).tobytes(), "zstd", asbytes=True)
+
 
+def _differences(x: np.ndarray) -> bytes:
+    return pa.compress(np.diff(x, prepend=0).astype(np.int64).tobytes(), "zstd", asbytes=True)
 
-def per_document(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+
+def undealt(table: pa.Table) -> list[np.ndarray]:
+    """h, g, doc, pos and settled of all rows of a bucket."""
+    out: list[list[np.ndarray]] = [[np.empty(0, k)] for k in (np.uint64, np.uint64, np.int64, np.int64, np.uint8)]
+    for n, *packed in zip(*[table.column(c) for c in ("n", "h", "g", "doc", "pos", "settled")], strict=True):
+        n = n.as_py()
+        for k, x in enumerate(packed):
+            raw = x.as_buffer()
+            if k < 2:
+                out[k].append(np.frombuffer(raw, "<u4", n if len(raw) else 0) | np.frombuffer(raw, "<u2", n if len(raw) else 0, 4 * n if len(raw) else 0).astype(np.uint64) << np.uint64(32))
+            elif k < 4:
+                out[k].append(np.cumsum(np.frombuffer(pa.decompress(raw, 8 * n, "zstd"), np.int64)))
+            else:
+                out[k].append(np.frombuffer(pa.decompress(raw, n, "zstd"), np.uint8))
+    return [np.concatenate(x) for x in out]
+
+
+def home(doc: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that gathers a document's places."""
+    return ((textscan.mix(doc.astype(np.uint64) + np.uint64(0x5DEECE66D)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+
+def sent_home(doc: np.ndarray, pos: np.ndarray, buckets: int) -> pa.Table:
+    """Places as packed arrays by their document's bucket."""
     if not len(doc):
-        return pa.RecordBatch.from_pylist([], schema=_FOUND)
-    order = np.argsort(doc, kind="stable")
+        return _FOUND.empty_table()
+    bucket = home(doc, buckets)
+    order = np.lexsort((pos, doc, bucket))
+    names, begin = np.unique(bucket[order], return_index=True)
+    ends, doc, pos = np.append(begin[1:], len(order)), doc[order], pos[order]
+    packed = [pa.array([_differences(c[a:b]) for a, b in zip(begin, ends, strict=True)], pa.binary()) for c in (doc, pos)]
+    return pa.table([pa.array(names), pa.array((ends - begin).astype(np.int32)), *packed], schema=_FOUND)
+
+
+def by_document(table: pa.Table) -> pa.Table:
+    """doc_id and all its places (differences of int32) from one bucket."""
+    parts = [[np.cumsum(np.frombuffer(pa.decompress(x.as_buffer(), 8 * n.as_py(), "zstd"), np.int64)) for n, x in zip(table.column("n"), table.column(c), strict=True)] for c in ("doc", "pos")]
+    doc, pos = (np.concatenate(p) for p in parts)
+    order = np.lexsort((pos, doc))
     names, begin = np.unique(doc[order], return_index=True)
-    flat = pos[order].astype(np.int32)
-    return pa.record_batch([pa.array(names), pa.array([flat[a:b].tobytes() for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True)], pa.binary())], schema=_FOUND)
+    pos = pos[order]
+    places = [np.diff(pos[a:b], prepend=0).astype("<i4").tobytes() for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True)]
+    return pa.table([pa.array(names), pa.array(places, pa.binary())], schema=_PLACES)
+
+
+def places(x: pa.Scalar) -> np.ndarray:
+    return np.cumsum(np.frombuffer(x.as_buffer(), "<i4"), dtype=np.int64)
 
 
 def long_enough(words: textscan.Words) -> bool:
@@ -115,21 +166,18 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
             h, doc, pos = np.concatenate(hs), np.concatenate(ds).astype(np.int64), np.concatenate(ps)
             order, begin = groups(h)
             least, shared = later(order, begin, doc)
-            h, doc, pos = h[order], doc[order], pos[order]
             # 0: to be compared; 1: known to be shared; 2: known, and compared for its group (one row, the first of the smallest document)
-            settled = shared.astype(np.uint8)
-            if len(h):
-                first = np.zeros(len(h), bool)
-                mine = np.flatnonzero(shared & (doc == least))
-                group = np.searchsorted(begin, mine, "right")
-                first[mine[np.unique(group, return_index=True)[1]]] = True
-                settled[first] = 2
+            mine = np.flatnonzero(shared & (doc[order] == least))
+            group = np.searchsorted(begin, mine, "right")
+            settled = np.empty(len(h), np.uint8)
+            settled[order] = shared
+            settled[order[mine[np.unique(group, return_index=True)[1]]]] = 2
             yield deal(h, None, doc, pos, settled, buckets)
 
     return docs.mapInArrow(run, DEALT)
 
 
-def shared_anchors(table: pa.Table) -> pa.Table:
+def shared_anchors(table: pa.Table, buckets: int) -> pa.Table:
     h, _, doc, pos, settled = undealt(table)
     out = [(doc[settled == 1], pos[settled == 1])]
     at = np.flatnonzero(settled != 1)
@@ -141,20 +189,21 @@ def shared_anchors(table: pa.Table) -> pa.Table:
         sizes = np.diff(np.append(begin, len(at)))
         ok = np.repeat(np.maximum.reduceat(ok, begin), sizes)
     out.append((doc[at[ok]], pos[at[ok]]))
-    return pa.Table.from_batches([per_document(np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]))])
+    return sent_home(np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]), buckets)
 
 
 def windows(docs: DataFrame, buckets: int) -> DataFrame:
-    """Windows around the shared anchors (``pos``, a list of arrays) of each document."""
+    """Windows around the shared anchors (``pos``) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
             ids, found, parts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2), []
             for i, j in textscan.pieces(batch.column(1)):
                 words = textscan.scan(batch.column(1).slice(i, j - i))
                 marks = np.zeros(len(words) + 1, np.int32)
                 for k in range(i, j):
-                    pos = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in found[k].values]).astype(np.int64)
+                    pos = places(found[k])
                     lo = words.first[k - i]
                     np.add.at(marks, lo + np.maximum(pos - PERIOD + 1, 0), 1)
                     np.add.at(marks, lo + pos + 1, -1)
@@ -173,13 +222,14 @@ def windows(docs: DataFrame, buckets: int) -> DataFrame:
             doc = doc.astype(np.int64)
             order, begin = groups(h, g)
             least, _ = later(order, begin, doc)
-            h, g, doc, pos = h[order], g[order], doc[order], pos[order]
-            yield deal(h, g, doc, pos, (doc > least).astype(np.uint8), buckets)
+            settled = np.empty(len(h), np.uint8)
+            settled[order] = doc[order] > least
+            yield deal(h, g, doc, pos, settled, buckets)
 
     return docs.mapInArrow(run, DEALT)
 
 
-def repeated_windows(table: pa.Table) -> pa.Table:
+def repeated_windows(table: pa.Table, buckets: int) -> pa.Table:
     h, g, doc, pos, settled = undealt(table)
     at = np.flatnonzero(settled != 1)
     order, begin = groups(h[at], g[at])
@@ -187,7 +237,7 @@ def repeated_windows(table: pa.Table) -> pa.Table:
     at = at[order]
     again = at[doc[at] > least]
     out = np.concatenate([np.flatnonzero(settled == 1), again])
-    return pa.Table.from_batches([per_document(doc[out], pos[out])])
+    return sent_home(doc[out], pos[out], buckets)
 
 
 def kept_words(docs: DataFrame) -> DataFrame:
@@ -209,7 +259,7 @@ def kept_words(docs: DataFrame) -> DataFrame:
                         spans.append([])
                         kept.append(b" ".join(data[words.starts[lo] : words.ends[hi - 1]].split()) if hi > lo else b"")
                         continue
-                    pos = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in found[i + k].values])
+                    pos = places(found[i + k])
                     marks = np.zeros(hi - lo + 1, np.int32)
                     np.add.at(marks, pos, 1)
                     np.add.at(marks, pos + WINDOW, -1)
@@ -230,9 +280,13 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * store.shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES + 1)
-    listed = lambda found: found.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))  # noqa: E731  at most a document's words
-    known = docs.where("doc_id is not null")
-    shared = anchors(known, buckets).groupBy("bucket").applyInArrow(shared_anchors, FOUND)
-    near = known.join(listed(shared), "doc_id").select("doc_id", "text", "pos")
-    again = windows(near, buckets).groupBy("bucket").applyInArrow(repeated_windows, FOUND)
-    return kept_words(docs.join(listed(again), "doc_id", "left").select("doc_id", "text", "pos"))
+
+    def gathered(dealt: DataFrame, settle) -> DataFrame:
+        found = dealt.groupBy("bucket").applyInArrow(lambda table: settle(table, -(-buckets // GATHERED)), FOUND)
+        return found.groupBy("bucket").applyInArrow(by_document, PLACES)
+
+    shared = gathered(anchors(docs.where("doc_id is not null"), buckets), shared_anchors)
+    # Two left joins of the same table on the same key: Spark deals its texts once and reads that exchange twice.
+    near = docs.join(shared, "doc_id", "left").select("doc_id", "text", "pos")
+    again = gathered(windows(near, buckets), repeated_windows)
+    return kept_words(docs.join(again, "doc_id", "left").select("doc_id", "text", "pos"))
