@@ -8,74 +8,259 @@ tokens stayed (``SAME``), what came of it is its template; otherwise the line is
 its own. A template that ``min_docs`` documents or more have is recurring: the
 document with the smallest id keeps its lines of it, all others lose them.
 
-Leaves are found on lines' keys alone; only lines of leaves that enough lines
-reach are looked at further, and of these each distinct one once, with its
-number of documents, whatever its frequency. The tree is not walked line by
-line, so the result doesn't depend on an order.
-
-Defined results: lines are parts between newlines; a line of fewer than
-``MIN_TOKENS`` tokens never recurs; a null text has no lines and stays null; a
-document that loses its last non-blank line has an empty text left; removed
-lines leave no blank line behind; repeated rows of one id are treated alike and
-count once; rows with a null id stay as they are and count for nothing; other
-columns are carried along. Texts of any length are read whole.
+A batch of documents deals its distinct lines to buckets of whole leaves, as
+packed token hashes, each with the ``min_docs`` smallest of its document ids:
+enough to tell whether there are that many, and which is the first, so a line
+that a third of all documents have costs a bucket a few numbers a batch. A
+bucket counts tokens, makes templates, and returns the hashes of recurring
+lines with their keeper. These are few against the corpus; up to
+``KNOWN_LINES`` of them are broadcast and texts are cut where they are read,
+beyond that they are joined. The tree is not walked line by line, so the result
+doesn't depend on an order.
+
+Defined results: lines are parts between newlines, tokens parts between spaces,
+tabs and returns; a line of fewer than ``MIN_TOKENS`` tokens never recurs; a
+null text has no lines and stays null; a document that loses its last non-blank
+line has an empty text left; removed lines leave no blank line behind; repeated
+rows of one id are treated alike and count once; rows with a null id stay as
+they are and count for nothing; other columns are carried along. Texts of any
+length are read whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import store
+from . import store, textscan
 
 MIN_DOCS, MIN_TOKENS, DEPTH, SAME = 10, 3, 2, 0.8
-VARIABLE = "<*>"
-
-
-def tokens(line: Column) -> Column:
-    """Tokens between spaces and tabs (and returns), those with a digit generalised."""
-    cut = F.split(F.btrim(line, F.lit(" \t\r")), "[ \t\r]+")
-    return F.transform(cut, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
-
-
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, nth, tokens and leaf of each line that is long enough."""
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("nth", "line")).where("id is not null")
-    rows = rows.select("id", "nth", tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, DEPTH))
-    return rows.withColumn("leaf", leaf)
-
-
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, nth, template, n_docs and keeper for each line of a recurring template."""
-    lines = lines_of(docs, id_col, text_col)
-    leaves = store.saved(lines.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "line-leaves")
-    held = lines.join(leaves, "leaf").select("id", "nth", "leaf", F.array_join("tokens", " ").alias("line"))
-    held = store.saved(held, "line-held")
-    distinct = store.saved(held.select("leaf", "line", "id").distinct().groupBy("leaf", "line").agg(F.count("*").alias("n")), "line-distinct")
-    placed = distinct.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    common = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs")).where((F.col("docs") >= min_docs) & (F.col("token") != VARIABLE)).select("leaf", "at", "token", F.lit(True).alias("stays"))
-    marked = placed.join(store.saved(common, "line-tokens"), ["leaf", "at", "token"], "left")
-    shape = marked.groupBy("leaf", "line").agg(
-        F.sort_array(F.collect_list(F.struct("at", F.when(F.col("stays"), F.col("token")).otherwise(VARIABLE).alias("token")))).alias("t"), F.avg(F.coalesce(F.col("stays"), F.lit(False)).cast("double")).alias("kept")
-    )  # at most a line's tokens
-    template = F.when(F.col("kept") >= same, F.array_join(F.transform("t", lambda x: x["token"]), " ")).otherwise(F.col("line"))
-    named = store.saved(shape.select("leaf", "line", template.alias("template")), "line-templates")
-    lines = held.join(named, ["leaf", "line"]).select("id", "nth", "template")
-    lines = store.saved(lines, "line-named")
-    often = lines.select("id", "template").distinct().groupBy("template").agg(F.count("*").alias("n_docs"), F.min("id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    return lines.join(store.saved(often, "line-often"), "template")
-
-
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Recurring distinct lines that may be broadcast: 16 bytes each.
+KNOWN_LINES = 2_000_000
+#: Bytes of text whose lines share a bucket, about.
+BUCKET_BYTES = 4 << 20
+
+U = np.uint64
+_TOKEN = textscan.byte_class((0x20, 0x20), (0x09, 0x0A), (0x0D, 0x0D))
+#: The hash of a generalised token, in the 40 bits that are kept of one.
+VARIABLE = U(0xB1A5EDC0DE)
+_40 = U((1 << 40) - 1)
+
+
+@dataclass
+class Lines:
+    """Lines of ``MIN_TOKENS`` tokens and more of several texts, in order."""
+
+    text: np.ndarray
+    nth: np.ndarray
+    begin: np.ndarray  # first token
+    size: np.ndarray  # tokens
+    token: np.ndarray  # of all lines: 40-bit hashes, digits generalised
+    leaf: np.ndarray
+    line: np.ndarray  # hash of all tokens
+
+
+def folded(token: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each line's tokens and their places."""
+    place = (np.arange(len(token)) - np.repeat(begin, size)).astype(U)
+    terms = textscan.mix(token + place * U(0x9E3779B97F4A7C15))
+    return textscan.mix(np.add.reduceat(terms, begin) + size.astype(U)) if len(begin) else np.empty(0, U)
+
+
+def lines_of(texts: pa.Array) -> Lines:
+    words = textscan.scan(texts, _TOKEN)
+    none = np.empty(0, np.int64)
+    if not len(words):
+        return Lines(none, none, none, none, *(np.empty(0, U),) * 3)
+    _, offsets = textscan.string_bytes(texts)
+    breaks, digits = (np.concatenate([[0], np.cumsum(mask, dtype=np.int32)]) for mask in (words.data == 10, (words.data >= 48) & (words.data <= 57)))
+    token = words.hashes() & _40
+    token[digits[words.ends] > digits[words.starts]] = VARIABLE
+    text, at = words.text_of, breaks[words.starts]
+    new = np.ones(len(words), bool)
+    new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(words)))
+    ok = size >= MIN_TOKENS
+    kept = np.repeat(ok, size)
+    text, nth = text[begin[ok]], at[begin[ok]] - breaks[offsets[text[begin[ok]]]]
+    token, size = token[kept], size[ok]
+    begin = np.cumsum(size) - size
+    leaf = size.astype(U)
+    for k in range(DEPTH):
+        leaf = textscan.mix(leaf * U(0xD1342543DE82EF95) + token[begin + k]) if len(begin) else leaf
+    return Lines(text, nth, begin, size, token, leaf, folded(token, begin, size))
+
+
+def gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the tokens of chosen lines."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+DEALT = "bucket int, leaf binary, line binary, size binary, token binary, n binary, doc binary"
+_DEALT = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("leaf", "line", "size", "token", "n", "doc")]])
+KNOWN = "line long, keeper long"
+
+
+def smallest(group: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest distinct documents of each group: sorted groups and documents."""
+    order = np.lexsort((doc, group))
+    group, doc = group[order], doc[order]
+    new = np.ones(len(group), bool)
+    new[1:] = (group[1:] != group[:-1]) | (doc[1:] != doc[:-1])
+    group, doc = group[new], doc[new]
+    ok = np.arange(len(group)) - np.searchsorted(group, group, "left") < k
+    return group[ok], doc[ok]
+
+
+def dealt(docs: DataFrame, min_docs: int, buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j in textscan.pieces(batch.column(1), 4 << 20):
+                found = [lines_of(batch.column(1).slice(a + i, b - a)) for a, b in textscan.pieces(batch.column(1).slice(i, j - i))]
+                doc = np.concatenate([ids[i + a + x.text] for (a, _), x in zip(textscan.pieces(batch.column(1).slice(i, j - i)), found, strict=True)])
+                line, leaf, size = (np.concatenate([getattr(x, c) for x in found]) for c in ("line", "leaf", "size"))
+                if not len(line):
+                    continue
+                token = np.concatenate([x.token for x in found])
+                begin = np.cumsum(size) - size
+                _, first, group = np.unique(line, return_index=True, return_inverse=True)
+                owner, owned = smallest(group, doc, min_docs)
+                counts = np.bincount(owner, minlength=len(first))
+                bucket = ((leaf[first] >> U(32)) % U(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                names, at = np.unique(bucket[order], return_index=True)
+                rows: list[list] = [[] for _ in _DEALT]
+                starts = np.cumsum(counts) - counts
+                for name, a, b in zip(names.tolist(), at, np.append(at[1:], len(order)), strict=True):
+                    own = order[a:b]
+                    f = first[own]
+                    t = token[gather(begin[f], size[f])]
+                    d = owned[gather(starts[own], counts[own])]
+                    packed = [leaf[f].astype("<u8"), line[f].astype("<u8"), size[f].astype("<u4"), None, counts[own].astype("<u2"), d.astype("<i8")]
+                    rows[0].append(name)
+                    for k, x in enumerate(packed):
+                        rows[k + 1].append(x.tobytes() if x is not None else t.astype("<u4").tobytes() + (t >> U(32)).astype(np.uint8).tobytes())
+                yield pa.record_batch([pa.array(r, f.type) for r, f in zip(rows, _DEALT, strict=True)], schema=_DEALT)
+
+    return docs.mapInArrow(run, DEALT)
+
+
+def recurring(table: pa.Table, min_docs: int, same: float) -> pa.Table:
+    """line and keeper: the recurring lines of a bucket of leaves."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for row in zip(*[table.column(c) for c in ("leaf", "line", "size", "token", "n", "doc")], strict=True):
+        for k, (x, kind) in enumerate(zip(row, ("<u8", "<u8", "<u4", None, "<u2", "<i8"), strict=True)):
+            raw = x.as_buffer()
+            if kind is None:
+                n = len(raw) // 5
+                parts[k].append(np.frombuffer(raw, "<u4", n).astype(U) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(U) << U(32))
+            else:
+                parts[k].append(np.frombuffer(raw, kind))
+    leaf, line, size, token, n, doc = (np.concatenate(p) for p in parts)
+    size, n = size.astype(np.int64), n.astype(np.int64)
+    begin = np.cumsum(size) - size
+    # Each distinct line once, with its documents.
+    line_of, first, group = np.unique(line, return_index=True, return_inverse=True)
+    owner, owned = smallest(np.repeat(group, n), doc, min_docs)
+    docs = np.bincount(owner, minlength=len(first))
+    token, size, leaf = token[gather(begin[first], size[first])], size[first], leaf[first]
+    begin = np.cumsum(size) - size
+    place = (np.arange(len(token)) - np.repeat(begin, size)).astype(U)
+    key = textscan.mix(np.repeat(leaf, size) + place * U(0xA24BAED4963EE407)) + token
+    _, which = np.unique(key, return_inverse=True)
+    support = np.bincount(which, np.repeat(docs, size))
+    stays = (support[which] >= min_docs) & (token != VARIABLE)
+    enough = np.add.reduceat(stays.astype(np.int64), begin) / size >= same
+    shape = np.where(np.repeat(enough, size) & ~stays, VARIABLE, token)
+    template = textscan.mix(folded(shape, begin, size) + leaf)
+    _, name = np.unique(template, return_inverse=True)
+    of, having = smallest(name[owner], owned, min_docs)
+    often = np.bincount(of, minlength=name.max() + 1) >= min_docs
+    keeper = np.zeros(len(often), np.int64)
+    keeper[of[::-1]] = having[::-1]  # the smallest is written last
+    out = np.flatnonzero(often[name])
+    return pa.table({"line": pa.array(line_of[out].view(np.int64)), "keeper": pa.array(keeper[name[out]])})
+
+
+def known_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """line (a hash) and keeper of every line of a recurring template."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * store.shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES + 1)
+    return dealt(rows, min_docs, buckets).groupBy("bucket").applyInArrow(lambda t: recurring(t, min_docs, same), KNOWN)
+
+
+def _cut(text: str, gone: set[int]) -> str:
+    return "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
+
+
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id_col: str = "doc_id", text_col: str = "text", known_limit: int = KNOWN_LINES) -> DataFrame:
     """``docs`` with recurring lines removed from the text, and n_lines and n_dropped (columns of these names are replaced)."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    gone = recurring(docs, min_docs, same, id_col, text_col).where("id <> keeper").groupBy("id").agg(F.collect_set("nth").alias("_gone")).withColumnRenamed("id", "_id")
-    text = F.col(text_col).cast("string")
-    cut = F.split(text, "\n")
-    left = F.filter(cut, lambda x, i: ~F.array_contains("_gone", i))
-    joined = docs.join(gone, F.col(id_col) == F.col("_id"), "left")
-    columns = [F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    docs = docs.drop("n_lines", "n_dropped")
+    known = store.saved(known_lines(docs, min_docs, same, id_col, text_col), "line-known")
+    if known.count() > known_limit:
+        return _joined(docs, known, id_col, text_col)
+    rows = known.toArrow()  # at most known_limit
+    line, keeper = rows.column("line").to_numpy().view(U), rows.column("keeper").to_numpy()
+    order = np.argsort(line)
+    shared = docs.sparkSession.sparkContext.broadcast((line[order], keeper[order]))
+    names = docs.columns
+    schema = T.StructType([*[T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, keepers = shared.value
+        for batch in batches:
+            for i, j in textscan.pieces(batch.column(text_col)):
+                part = batch.slice(i, j - i)
+                texts, ids = part.column(text_col), part.column(id_col).to_pylist()
+                own = lines_of(texts)
+                slot = np.minimum(np.searchsorted(hashes, own.line), max(len(hashes) - 1, 0))
+                hit = np.flatnonzero(hashes[slot] == own.line) if len(hashes) else np.empty(0, np.int64)
+                gone: dict[int, set[int]] = {}
+                for t, n, first in zip(own.text[hit].tolist(), own.nth[hit].tolist(), keepers[slot[hit]].tolist(), strict=True):
+                    if ids[t] is not None and ids[t] > first:
+                        gone.setdefault(t, set()).add(n)
+                if gone:
+                    values = texts.to_pylist()
+                    for t, which in gone.items():
+                        values[t] = _cut(values[t], which)
+                    left = pa.array(values, pa.string())
+                else:
+                    left = texts
+                data, offsets = textscan.string_bytes(texts)
+                breaks = np.concatenate([[0], np.cumsum(data == 10)])
+                n_lines = np.where(texts.is_valid().to_numpy(zero_copy_only=False), breaks[offsets[1:]] - breaks[offsets[:-1]] + 1, 0)
+                dropped = np.array([len(gone.get(t, ())) for t in range(len(part))], np.int64)
+                yield pa.record_batch([*[left if c == text_col else part.column(c) for c in names], pa.array(n_lines.astype(np.int64)), pa.array(dropped)], names=[*names, "n_lines", "n_dropped"])
+
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def _joined(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same where recurring lines are too many to broadcast: lines meet them by hash, documents their lost lines by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j in textscan.pieces(batch.column(1)):
+                own = lines_of(batch.column(1).slice(i, j - i))
+                yield pa.record_batch([pa.array(ids[i + own.text].astype(np.int64)), pa.array(own.nth.astype(np.int32)), pa.array(own.line.view(np.int64))], names=["_id", "_nth", "line"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    lost = rows.mapInArrow(run, "_id long, _nth int, line long").join(known, "line").where("_id > keeper")
+    lost = lost.groupBy("_id").agg(F.collect_set("_nth").alias("_gone"))  # at most a document's lines
+    cut = F.split(F.col(text_col).cast("string"), "\n")
+    joined = docs.join(lost, F.col(id_col) == F.col("_id"), "left")
+    left = F.when(F.col("_gone").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    columns = [left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
 
 

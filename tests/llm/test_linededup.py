@@ -66,6 +66,20 @@ def test_equals_brute_force(spark, seed, min_docs):
     assert rows == brute(texts, min_docs) and any(r[2] for r in rows.values())
 
 
+def test_joined_where_too_many_to_broadcast(spark):
+    texts = sample(7)
+    rows = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.drop_lines(docs(spark, texts), 2, known_limit=0).collect()}
+    assert rows == brute(texts, 2)
+
+
+def test_copies_of_a_row_over_batches(spark):
+    """Repeated rows of one id, read in different batches, are one document."""
+    source = spark.createDataFrame([(1, "a b c d\nown words of one"), (2, "a b c d")], "doc_id long, text string").repartition(2, "doc_id")
+    many = source.union(source).union(source)
+    assert linededup.drop_lines(many, 3).where("n_dropped > 0").count() == 0
+    assert linededup.drop_lines(many, 2).where("n_dropped > 0").select("doc_id").distinct().collect() == [(2,)]
+
+
 def test_variable_fields_share_a_template(spark):
     rng = random.Random(0)
     texts = [f"{prose(rng, 12)}\nserved by host{k} in {k * 7} ms on the main road" for k in range(9)]
