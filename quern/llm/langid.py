@@ -120,15 +120,22 @@ def fit(texts: dict[str, bytes]) -> Model:
 def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> dict[str, bytes]:
     """Normalised training text of each label, from at most ``train_docs`` documents of each."""
     share = -(-train_bytes // train_docs)
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    rows = (
-        docs.select(F.col(id_col).cast("string").alias("id"), F.substring(F.col(text_col).cast("string"), 1, 16 * share).alias("text"), F.col(label_col).cast("string").alias("label"))
-        .where("label <> '' and text rlike '\\\\p{L}'")
-        .withColumn("k", F.row_number().over(order))
-        .where(F.col("k") <= train_docs)
-        .orderBy("label", "k")
-        .collect()
-    )  # bounded by labels x train_docs x share
+    order = Window.partitionBy("label").orderBy("h", "id")
+    named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("label <> ''").withColumn("h", F.xxhash64("id"))
+    counts = {r["label"]: r["count"] for r in named.groupBy("label").count().collect()}
+
+    def first(labels: dict[str, int], most: int) -> list:
+        """The first rows of each label by hash; only hashes that low can be among them are ranked."""
+        bound = F.create_map(*[F.lit(x) for k, n in labels.items() for x in (k, -(2.0**63) + 2.0**64 * min(1.0, most / n))])
+        own = named.where(F.col("label").isin(*labels) & (F.col("h") <= bound[F.col("label")]) & F.col("text").rlike(r"\p{L}"))
+        own = own.select("id", "label", "h", F.substring("text", 1, 16 * share).alias("text")).withColumn("k", F.row_number().over(order))
+        return own.where(F.col("k") <= train_docs).orderBy("label", "k").collect()  # bounded by labels x train_docs x share
+
+    rows = first(counts, 4 * train_docs) if counts else []
+    got = {k: sum(r["label"] == k for r in rows) for k in counts}
+    short = {k: n for k, n in counts.items() if got[k] < min(train_docs, n)}
+    if short:  # labels of which many rows have no letter
+        rows = [r for r in rows if r["label"] not in short] + first(short, max(short.values()))
     out: dict[str, bytes] = {}
     for label in sorted({r["label"] for r in rows}):
         data, offsets = normalised(pa.array([r["text"] for r in rows if r["label"] == label], pa.string()))
