@@ -29,9 +29,6 @@ from pyspark.sql import types as T
 
 from . import store, tokens
 
-#: Rows of equal length that share a salt, about.
-SALT_ROWS = 50_000
-
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType()),
@@ -123,10 +120,12 @@ def layout(counts: dict[int, int], capacity: int = 2048) -> tuple[np.ndarray, in
     return np.array(sorted(places), np.int64).reshape(-1, 6), bins
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, salt_rows: int = SALT_ROWS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, salt_rows: int | None = None) -> DataFrame:
     """``pieces`` (doc_id, piece, length and any more; a table that reads the same again) with sequence_id and offset."""
     spark = pieces.sparkSession
     sizes = pieces.groupBy("length").count().collect()  # at most one row a length
+    if salt_rows is None:  # rows of equal length that are ranked together: a quarter of a task's share
+        salt_rows = max(256, sum(r["count"] for r in sizes) // (4 * store.shuffle_partitions(spark)))
     places, _ = layout({r["length"]: r["count"] for r in sizes}, capacity)
     salts = [F.lit(1)]
     if big := {r["length"]: -(-r["count"] // salt_rows) for r in sizes if r["count"] > salt_rows}:
