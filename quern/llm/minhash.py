@@ -14,11 +14,14 @@ Jaccard similarity, whatever the sizes.
 Signatures are cut into bands; documents that agree on a band are candidates.
 Exact copies (of the words, in lower case) are one candidate. A bucket's
 members are compared with its least member in exact weighted Jaccard
-similarity, on whole texts. Members that this doesn't connect to the bucket's
-other members are compared with every member whose distance to the least
-member is near enough for a link (Jaccard distance is a metric, so the others
-can't have one). Classes are the connected components of the links, found by
-minima that run along links; nothing is collected.
+similarity, on whole texts; links make classes (connected components, found by
+minima that run along links; nothing is collected). Where a bucket still holds
+several classes, its members' sketches (``COORDINATES`` coordinates, a byte of
+each dart) are compared across classes, block by block, and pairs whose sketches
+agree often enough, and that are about as far as each other from each head they
+share (Jaccard distance is a metric), are compared in full: first the likeliest few of each
+document, then, in new classes, all, each pair in the first band that it shares. So a large group of copies costs blocks of byte comparisons, and
+pairs only where a link may still matter.
 
 Defined results: a class is named by its smallest document id, so a document
 without near-duplicates is a class of its own; so is every null or blank text;
@@ -35,7 +38,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store, textscan
@@ -44,6 +47,10 @@ U = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
 #: At similarity 0.8, a pair is missed by all bands once in 20,000; at 0.9, once in 10 billion.
 BANDS, ROWS = 25, 5
+#: Coordinates of a sketch (the bands use the first of them), and the part that has to agree. At similarity 0.8 fewer agree once in 70,000 pairs.
+COORDINATES, AGREEING = 384, 0.714
+#: Rows of a block of sketches, and pairs of a document in the first round.
+BLOCK_ROWS, FIRST_PAIRS = 1024, 4
 #: The lowest strip of ranks ends at 2**BASE; each further one doubles that.
 BASE = -6
 
@@ -128,9 +135,10 @@ def scan(texts: pa.Array) -> textscan.Words:
 
 
 def described(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """doc_id, key (128 bits of all words; null without words), n (shingles), bands (a hash each)."""
-    schema = "doc_id long, key binary, n long, bands array<long>"
-    arrow = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, key (128 bits of all words; null without words), n (shingles), bands (a hash each), sketch."""
+    schema = "doc_id long, key binary, n long, bands array<long>, sketch binary"
+    arrow = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    width = max(COORDINATES, bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +148,9 @@ def described(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
                 text, h = shingles(words, h1, size)
                 nth = counted(text, h)
                 cells = textscan.mix(h + nth.astype(U) * U(0x589965CC75374CC3))
-                sig = signatures(text, cells, n, bands * rows).reshape(n, bands, rows)
+                darts = signatures(text, cells, n, width)
+                sig = darts[:, : bands * rows].reshape(n, bands, rows)
+                sketch = (darts >> U(40)).astype(np.uint8).tobytes()
                 band = np.zeros((n, bands), U)
                 for r in range(rows):
                     band = textscan.mix(band * U(0x9E3779B97F4A7C15) + sig[:, :, r])
@@ -155,7 +165,7 @@ def described(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
                 key = pa.array([raw[16 * k : 16 * k + 16] if ok else None for k, ok in enumerate(has.tolist())], pa.binary())
                 flat = pa.array(band.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), flat)
-                yield pa.record_batch([batch.column(0).slice(i, n), key, pa.array(np.bincount(text, minlength=n)), lists], schema=arrow)
+                yield pa.record_batch([batch.column(0).slice(i, n), key, pa.array(np.bincount(text, minlength=n)), lists, pa.array([sketch[width * k : width * (k + 1)] for k in range(n)], pa.binary())], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
@@ -211,11 +221,83 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def unsettled(members: DataFrame, label: DataFrame, heads: DataFrame, near: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one class, with class, size, bands, sketch and similarities to their buckets' heads."""
+    known = members.join(label, members["doc_id"] == label["id"], "left").select("band", "v", "doc_id", F.coalesce("class", "doc_id").alias("class"))
+    known = store.saved(known, "minhash-known")
+    split = known.groupBy("band", "v").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band", "v", "m")
+    rest = store.saved(known.join(store.saved(split, "minhash-split"), ["band", "v"]), "minhash-rest")
+    return rest.join(heads.select("doc_id", "n", "bands", "sketch"), "doc_id").join(near, "doc_id")
+
+
+def likely(rest: DataFrame, threshold: float, agreeing: float, first: int | None) -> DataFrame:
+    """a, b: pairs across classes whose sizes and sketches let a link be.
+
+    A bucket is cut into blocks by a hash; each two blocks are one task's work.
+    With ``first`` a document looks in its first band only, into its own block
+    and the two beside it, for its so many likeliest partners in each.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    others = F.sequence(F.lit(0), blocks - 1)
+    if first is not None:
+        others = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.pmod(own + k, blocks)))
+    asks = F.col("band") == F.min("band").over(Window.partitionBy("doc_id"))
+    dealt = rest.withColumns({"own": own, "other": F.explode(others), "asks": asks if first is not None else F.lit(True)})
+    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "asks", "band", "v", "doc_id", "class", "n", "bands", "sketch", "near")
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy()
+        i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+        doc, cls, n = (table.column(c).to_numpy() for c in ("doc_id", "class", "n"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
+        sketch = np.frombuffer(b"".join(x.as_py() for x in table.column("sketch")), np.uint8).reshape(len(doc), -1)
+        listed = table.column("near").combine_chunks()
+        sizes, listed = np.diff(listed.offsets.to_numpy()), listed.flatten()
+        near = np.full(bands.shape, np.nan, np.float32)
+        near[np.repeat(np.arange(len(doc)), sizes), listed.field("band").to_numpy()] = listed.field("s").to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        columns = np.ascontiguousarray(sketch[right].T)
+        found = []
+        for k in range(0, len(left), 128):
+            x = left[k : k + 128]
+            ok = (cls[x][:, None] != cls[right][None, :]) & (np.minimum(n[x][:, None], n[right][None, :]) >= threshold * np.maximum(n[x][:, None], n[right][None, :]))
+            if i == j:
+                ok &= doc[x][:, None] < doc[right][None, :]
+            if not ok.any():
+                continue
+            same = np.zeros(ok.shape, np.int16)
+            for c in range(sketch.shape[1]):
+                same += sketch[x, c][:, None] == columns[c][None, :]
+            ok &= same >= agreeing * sketch.shape[1]
+            p, q = np.nonzero(ok)
+            # Both were compared with the head of each bucket they share: a link's ends are about as far from it.
+            apart = np.abs(near[x[p]] - near[right[q]]) > 1 - threshold + 1e-6
+            fits = ~(apart & (bands[x[p]] == bands[right[q]])).any(1)
+            p, q = p[fits], q[fits]
+            if first is None:  # a pair is compared in the first band that it shares
+                seen = (bands[x[p], :band] == bands[right[q], :band]).any(1)
+                p, q = p[~seen], q[~seen]
+            found.append((x[p], right[q], same[p, q]))
+        a, b, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        if first is not None and len(a):
+            asks, keep = table.column("asks").to_numpy(), np.zeros(len(a), bool)
+            for side in (a, b):
+                order = np.lexsort((a + b, -s, side))
+                place = np.arange(len(order)) - np.searchsorted(side[order], side[order], "left")
+                chosen = order[place < first]
+                keep[chosen[asks[side[chosen]]]] = True
+            a, b = a[keep], b[keep]
+        return pa.table({"a": pa.array(np.minimum(doc[a], doc[b]), pa.int64()), "b": pa.array(np.maximum(doc[a], doc[b]), pa.int64())})
+
+    return dealt.groupBy("band", "v", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", first_pairs: int = FIRST_PAIRS) -> DataFrame:
     """doc_id and class_id, a row for each document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     each = store.saved(described(docs, bands, rows, size), "minhash-signatures")
-    one = each.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r")).select("key", "r.*")
+    one = each.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("r")).select("key", "r.*")
     heads = store.saved(one, "minhash-texts")
     entries = heads.select(F.posexplode("bands").alias("band", "v"), "doc_id")
     first = entries.groupBy("band", "v").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("band", "v", "head")
@@ -223,21 +305,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
     texts = store.saved(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-candidates")
     star = members.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
     done = store.saved(compared(star, texts, size), "minhash-star")
-    links = done.where(F.col("s") >= threshold)
+    links = done.where(F.col("s") >= threshold).select("a", "b")
+    each_head = members.join(done, (F.col("doc_id") == F.col("a")) & (F.col("head") == F.col("b")), "left").select("doc_id", "band", F.coalesce("s", F.lit(1.0)).cast("float").alias("s"))
+    near = store.saved(each_head.groupBy("doc_id").agg(F.collect_list(F.struct("band", "s")).alias("near")), "minhash-near")  # at most a row's bands
     label = components(links)
-    # Members of a bucket in more than one class: compare across classes what the triangle inequality doesn't rule out.
-    known = members.join(done, (F.col("doc_id") == F.col("a")) & (F.col("head") == F.col("b")), "left").join(label, F.col("doc_id") == F.col("id"), "left")
-    known = known.select("band", "v", "doc_id", "head", F.coalesce("s", F.lit(1.0)).alias("s"), F.coalesce("class", "doc_id").alias("class"))
-    known = store.saved(known, "minhash-known")
-    split = known.groupBy("band", "v").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band", "v")
-    rest = store.saved(known.join(split, ["band", "v"]), "minhash-split")
-    x, y = (rest.select("band", "v", *[F.col(c).alias(c + k) for c in ("doc_id", "head", "s", "class")]) for k in "xy")
-    near = (F.col("doc_idx") < F.col("doc_idy")) & (F.col("classx") != F.col("classy")) & (F.col("doc_idx") != F.col("headx")) & (F.abs(F.col("sx") - F.col("sy")) <= 1 - threshold + 1e-9)
-    more = x.join(y, (x["band"] == y["band"]) & (x["v"] == y["v"]) & near).select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b")).distinct()
-    second = store.saved(compared(more, texts, size).where(F.col("s") >= threshold), "minhash-second")
-    if second.limit(1).count():
-        label = components(links.select("a", "b").union(second.select("a", "b")))
+    least = AGREEING + (threshold - THRESHOLD)
+    seen = done.select(F.col("b").alias("a"), F.col("a").alias("b"))  # pairs stand with the smaller id first
+    for at_most in (first_pairs, None):
+        rest = unsettled(members, label, heads, near)
+        more = store.saved(likely(rest, threshold, least, at_most).distinct().join(seen, ["a", "b"], "left_anti"), "minhash-likely")
+        seen = seen.union(more)
+        new = store.saved(compared(more, texts, size).where(F.col("s") >= threshold).select("a", "b"), "minhash-links")
+        if new.limit(1).count():
+            links = links.union(new)
+            label = components(links)
     named = heads.join(label, heads["doc_id"] == label["id"], "left").select("key", F.coalesce("class", "doc_id").alias("class_id"))
     named = store.saved(named, "minhash-classes")
-    rows_ = each.select("doc_id", "key").dropDuplicates(["doc_id"])
-    return rows_.join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    all_ = each.select("doc_id", "key").dropDuplicates(["doc_id"])
+    return all_.join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
