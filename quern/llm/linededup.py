@@ -19,8 +19,9 @@ beyond that they are joined. The tree is not walked line by line, so the result
 doesn't depend on an order.
 
 Defined results: lines are parts between newlines, tokens parts between spaces,
-tabs and returns; a line of fewer than ``MIN_TOKENS`` tokens never recurs; a
-null text has no lines and stays null; a document that loses its last non-blank
+tabs and returns; a line of fewer than ``min_tokens`` tokens never recurs, and
+one of fewer than ``MIN_TOKENS`` recurs as it stands, digits and all; a blank
+line never recurs; a null text has no lines and stays null; a document that loses its last non-blank
 line has an empty text left; removed lines leave no blank line behind; repeated
 rows of one id are treated alike and count once; rows with a null id stay as
 they are and count for nothing; other columns are carried along. Texts of any
@@ -55,13 +56,13 @@ _40 = U((1 << 40) - 1)
 
 @dataclass
 class Lines:
-    """Lines of ``MIN_TOKENS`` tokens and more of several texts, in order."""
+    """Lines of ``min_tokens`` tokens and more of several texts, in order."""
 
     text: np.ndarray
     nth: np.ndarray
     begin: np.ndarray  # first token
     size: np.ndarray  # tokens
-    token: np.ndarray  # of all lines: 40-bit hashes, digits generalised
+    token: np.ndarray  # of all lines: 40-bit hashes, digits generalised but in short lines
     leaf: np.ndarray
     line: np.ndarray  # hash of all tokens
 
@@ -73,29 +74,33 @@ def folded(token: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return textscan.mix(np.add.reduceat(terms, begin) + size.astype(U)) if len(begin) else np.empty(0, U)
 
 
-def lines_of(texts: pa.Array) -> Lines:
+def lines_of(texts: pa.Array, min_tokens: int = MIN_TOKENS) -> Lines:
     words = textscan.scan(texts, _TOKEN)
     none = np.empty(0, np.int64)
     if not len(words):
         return Lines(none, none, none, none, *(np.empty(0, U),) * 3)
     _, offsets = textscan.string_bytes(texts)
     breaks, digits = (np.concatenate([[0], np.cumsum(mask, dtype=np.int32)]) for mask in (words.data == 10, (words.data >= 48) & (words.data <= 57)))
-    token = words.hashes() & _40
-    token[digits[words.ends] > digits[words.starts]] = VARIABLE
+    exact = words.hashes()
     text, at = words.text_of, breaks[words.starts]
     new = np.ones(len(words), bool)
     new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(words)))
-    ok = size >= MIN_TOKENS
+    token = exact & _40
+    token[(digits[words.ends] > digits[words.starts]) & np.repeat(size >= MIN_TOKENS, size)] = VARIABLE
+    ok = size >= min_tokens
     kept = np.repeat(ok, size)
     text, nth = text[begin[ok]], at[begin[ok]] - breaks[offsets[text[begin[ok]]]]
-    token, size = token[kept], size[ok]
+    token, exact, size = token[kept], exact[kept], size[ok]
     begin = np.cumsum(size) - size
+    # A short line has too few tokens to be told by 40 bits of each.
+    whole = np.where(np.repeat(size < MIN_TOKENS, size), exact, token)
     leaf = size.astype(U)
     for k in range(DEPTH):
-        leaf = textscan.mix(leaf * U(0xD1342543DE82EF95) + token[begin + k]) if len(begin) else leaf
-    return Lines(text, nth, begin, size, token, leaf, folded(token, begin, size))
+        deep = size > k
+        leaf[deep] = textscan.mix(leaf[deep] * U(0xD1342543DE82EF95) + whole[begin[deep] + k])
+    return Lines(text, nth, begin, size, token, leaf, folded(whole, begin, size))
 
 
 def gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -119,12 +124,12 @@ def smallest(group: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     return group[ok], doc[ok]
 
 
-def dealt(docs: DataFrame, min_docs: int, buckets: int) -> DataFrame:
+def dealt(docs: DataFrame, min_docs: int, buckets: int, min_tokens: int = MIN_TOKENS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j in textscan.pieces(batch.column(1), 4 << 20):
-                found = [lines_of(batch.column(1).slice(a + i, b - a)) for a, b in textscan.pieces(batch.column(1).slice(i, j - i))]
+                found = [lines_of(batch.column(1).slice(a + i, b - a), min_tokens) for a, b in textscan.pieces(batch.column(1).slice(i, j - i))]
                 doc = np.concatenate([ids[i + a + x.text] for (a, _), x in zip(textscan.pieces(batch.column(1).slice(i, j - i)), found, strict=True)])
                 line, leaf, size = (np.concatenate([getattr(x, c) for x in found]) for c in ("line", "leaf", "size"))
                 if not len(line):
@@ -190,24 +195,24 @@ def recurring(table: pa.Table, min_docs: int, same: float) -> pa.Table:
     return pa.table({"line": pa.array(line_of[out].view(np.int64)), "keeper": pa.array(keeper[name[out]])})
 
 
-def known_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def known_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """line (a hash) and keeper of every line of a recurring template."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * store.shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES + 1)
-    return dealt(rows, min_docs, buckets).groupBy("bucket").applyInArrow(lambda t: recurring(t, min_docs, same), KNOWN)
+    return dealt(rows, min_docs, buckets, min_tokens).groupBy("bucket").applyInArrow(lambda t: recurring(t, min_docs, same), KNOWN)
 
 
 def _cut(text: str, gone: set[int]) -> str:
     return "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id_col: str = "doc_id", text_col: str = "text", known_limit: int = KNOWN_LINES) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id_col: str = "doc_id", text_col: str = "text", known_limit: int = KNOWN_LINES, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with recurring lines removed from the text, and n_lines and n_dropped (columns of these names are replaced)."""
     docs = docs.drop("n_lines", "n_dropped")
-    known = store.saved(known_lines(docs, min_docs, same, id_col, text_col), "line-known")
+    known = store.saved(known_lines(docs, min_docs, same, id_col, text_col, min_tokens), "line-known")
     if known.count() > known_limit:
-        return _joined(docs, known, id_col, text_col)
+        return _joined(docs, known, id_col, text_col, min_tokens)
     rows = known.toArrow()  # at most known_limit
     line, keeper = rows.column("line").to_numpy().view(U), rows.column("keeper").to_numpy()
     order = np.argsort(line)
@@ -221,7 +226,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id
             for i, j in textscan.pieces(batch.column(text_col)):
                 part = batch.slice(i, j - i)
                 texts, ids = part.column(text_col), part.column(id_col).to_pylist()
-                own = lines_of(texts)
+                own = lines_of(texts, min_tokens)
                 slot = np.minimum(np.searchsorted(hashes, own.line), max(len(hashes) - 1, 0))
                 hit = np.flatnonzero(hashes[slot] == own.line) if len(hashes) else np.empty(0, np.int64)
                 gone: dict[int, set[int]] = {}
@@ -244,14 +249,14 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id
     return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _joined(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _joined(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
     """The same where recurring lines are too many to broadcast: lines meet them by hash, documents their lost lines by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in textscan.pieces(batch.column(1)):
-                own = lines_of(batch.column(1).slice(i, j - i))
+                own = lines_of(batch.column(1).slice(i, j - i), min_tokens)
                 yield pa.record_batch([pa.array(ids[i + own.text].astype(np.int64)), pa.array(own.nth.astype(np.int32)), pa.array(own.line.view(np.int64))], names=["_id", "_nth", "line"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
@@ -265,8 +270,8 @@ def _joined(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> Da
 
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` without recurring lines, and without the documents that lost all they had to them."""
-    out = drop_lines(docs, min_docs)
+    """``docs`` without recurring lines of any length, and without the documents that lost all they had to them."""
+    out = drop_lines(docs, min_docs, min_tokens=1)
     return out.where("n_dropped = 0 or text rlike '[^ \\\\t\\\\r\\\\n]'").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -290,3 +295,10 @@ SELECT cut.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(g), 0):
        sha256(CASE WHEN g IS NULL THEN array_to_string(ls, chr(10)) ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(g, i - 1)), chr(10)), '') END) AS kept_sha256
 FROM cut LEFT JOIN gone USING (doc_id)
 """
+
+
+#: The same with lines of any length: short ones recur as they stand, and share no template with others.
+def whole_oracle(min_docs: int = MIN_DOCS, same: float = SAME) -> str:
+    return oracle(min_docs, same).replace("FROM named", "FROM every_").replace("often AS (", f"""short AS (SELECT doc_id, nth, regexp_split_to_array(trim(ls[nth + 1], ' ' || chr(9) || chr(13)), '[ \\t\\r]+') AS u FROM raw),
+every_ AS (SELECT doc_id, nth, template FROM named UNION ALL SELECT doc_id, nth, array_to_string(u, ' ') FROM short WHERE len(u) < {MIN_TOKENS} AND u <> ['']),
+often AS (""")
