@@ -123,6 +123,15 @@ def error_overlap(df: DataFrame, a: str, b: str, truth: str, id_col: str) -> Dat
     return one.select(F.explode(F.array(*kinds)).alias("k")).select("k.*")
 
 
+def error_rows(df: DataFrame, a: str, b: str, truth: str, id_col: str) -> DataFrame:
+    """A row for each erring id: kind (FP, FN), side (only_a, only_b, shared) of two instruments' errors. Nothing is gathered."""
+    wrong = lambda c: F.coalesce(F.col(c) == 1 - F.col(truth), F.lit(False))
+    side = F.when(wrong(a) & wrong(b), "shared").when(wrong(a), "only_a").when(wrong(b), "only_b")
+    kind = F.when(F.col(truth) == 0, "FP").when(F.col(truth) == 1, "FN")
+    rows = df.select(kind.alias("kind"), side.alias("side"), F.col(id_col)).where("kind is not null and side is not null")
+    return rows.distinct()
+
+
 def split_effects(pairs: DataFrame, group: str) -> DataFrame:
     """Agreement of the same cells on treated and control texts, by variable, and their difference."""
     ok = (F.col("a") == F.col("b")).cast("double")

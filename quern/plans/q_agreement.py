@@ -69,6 +69,13 @@ def error_overlap(spark, sf_dir):
     return agreement.error_overlap(p, "att", "b", "att_b", "o_orderkey")
 
 
+@query(f"""WITH x AS (SELECT o_orderkey, att_b AS t, att AS a, CASE WHEN o_orderkey % 13 = 0 THEN 1 - att ELSE att END AS b FROM {PANEL_SQL})
+ SELECT CASE t WHEN 0 THEN 'FP' ELSE 'FN' END AS kind, CASE WHEN a = b THEN 'shared' WHEN a <> t THEN 'only_a' ELSE 'only_b' END AS side, o_orderkey FROM x WHERE a <> t OR b <> t""")
+def error_overlap_whole(spark, sf_dir):
+    p = panel(spark, sf_dir).withColumn("b", F.when(F.col("o_orderkey") % 13 == 0, 1 - F.col("att")).otherwise(F.col("att")))
+    return agreement.error_rows(p, "att", "b", "att_b", "o_orderkey")
+
+
 def _outlook_sql(reversal: str) -> str:
     return f"""SELECT count(*) FILTER (outl <> outl_b)::BIGINT AS n_wrong, count(*) FILTER (outl <> outl_b AND att <> att_b)::BIGINT AS forced_by_attention, count(*) FILTER (outl <> outl_b AND att = att_b)::BIGINT AS independent,
  count(*) FILTER (outl <> outl_b AND (outl = 0 OR outl_b = 0))::BIGINT AS direction_to_neutral, count(*) FILTER (outl <> outl_b AND {reversal})::BIGINT AS sign_reversals, sha256(coalesce(string_agg(o_orderkey::VARCHAR, ' ' ORDER BY o_orderkey::VARCHAR) FILTER (outl <> outl_b), '')) AS ids FROM {PANEL_SQL}"""
