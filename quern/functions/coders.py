@@ -42,6 +42,20 @@ def bootstrap_kappa_ci(a, b, categories: list[int], n_draws: int = DRAWS, seed:
     return tuple(np.percentile(kappa, [2.5, 97.5]).tolist())
 
 
+def bootstrap_kappa_cells_ci(a, b, count, categories: list[int], n_draws: int = DRAWS, seed: int = SEED) -> tuple[float, float]:
+    """The same interval from the number of items in each cell (a, b), in the order of cells: items resampled with replacement make multinomial counts."""
+    a, b, count = np.asarray(a), np.asarray(b), np.asarray(count, np.int64)
+    n = int(count.sum())
+    share = np.random.default_rng(seed).multinomial(n, count / n, n_draws) / n
+    observed = share[:, a == b].sum(1)
+    chance = sum(share[:, a == c].sum(1) * share[:, b == c].sum(1) for c in categories)
+    fine = chance < 1 - 1e-12
+    if not fine.any():
+        return math.nan, math.nan
+    kappa = (observed[fine] - chance[fine]) / (1 - chance[fine])
+    return tuple(np.percentile(kappa, [2.5, 97.5]).tolist())
+
+
 def binomial_cdf(k: int, n: int, p: float) -> float:
     if n > 500 and 0 <= k < n:  # the sum's terms would leave the floats
         return regularised_incomplete_beta(n - k, k + 1, 1 - p)

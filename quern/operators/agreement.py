@@ -41,18 +41,17 @@ def agreement_table(pairs: DataFrame, by: list[str] | None = None, lenient: Colu
 
 
 def with_intervals(table: DataFrame, pairs: DataFrame, n_draws: int = coders.DRAWS, seed: int = coders.SEED) -> DataFrame:
-    """The table with kappa's bootstrap interval and the exact interval of the agreement. A variable's sample is small."""
+    """The table with kappa's bootstrap interval and the exact interval of the agreement. A variable's task gets its cells (a, b) with their counts."""
 
     def run(pdf):
-        pdf = pdf.dropna(subset=["a", "b"]).sort_values("_at")
+        pdf = pdf.sort_values(["a", "b"])
         v = pdf["variable"].iloc[0]
-        lo, hi = coders.bootstrap_kappa_ci(pdf["a"].astype(int), pdf["b"].astype(int), coders.categories_for(v), n_draws, seed)
-        low, high = coders.clopper_pearson_ci(int((pdf["a"] == pdf["b"]).sum()), len(pdf))
+        lo, hi = coders.bootstrap_kappa_cells_ci(pdf["a"], pdf["b"], pdf["n"], coders.categories_for(v), n_draws, seed)
+        low, high = coders.clopper_pearson_ci(int(pdf["n"][pdf["a"] == pdf["b"]].sum()), int(pdf["n"].sum()))
         return pd.DataFrame([(v, lo, hi, low, high)], columns=["variable", "kappa_low", "kappa_high", "agreement_low", "agreement_high"])
 
-    key = [c for c in pairs.columns if c not in ("variable", "a", "b")]
-    rows = pairs.select("variable", "a", "b", F.struct(*key).cast("string").alias("_at") if key else F.lit("").alias("_at"))
-    found = rows.where("a is not null and b is not null").groupBy("variable").applyInPandas(run, "variable string, kappa_low double, kappa_high double, agreement_low double, agreement_high double")
+    cells = pairs.where("a is not null and b is not null").groupBy("variable", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")).agg(F.count("*").alias("n"))
+    found = cells.groupBy("variable").applyInPandas(run, "variable string, kappa_low double, kappa_high double, agreement_low double, agreement_high double")
     return table.join(null_not_nan(found), "variable", "left")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import coders
 from ..operators import agreement, inference, ordered
 from .catalogue import panel, query, r6, table
 
@@ -42,9 +41,9 @@ def alternative_inference(spark, sf_dir):
 
 @query()
 def kappa_bootstrap(spark, sf_dir):
-    p = panel(spark, sf_dir).where("o_orderkey <= 200").withColumnsRenamed({"att": "inflation_attention_a", "att_b": "inflation_attention_b", "outl": "inflation_outlook_a", "outl_b": "inflation_outlook_b"})
+    p = panel(spark, sf_dir).withColumnsRenamed({"att": "inflation_attention_a", "att_b": "inflation_attention_b", "outl": "inflation_outlook_a", "outl_b": "inflation_outlook_b"})
     pairs = agreement.long_pairs(p, ["o_orderkey"], ["inflation_attention", "inflation_outlook"], ("_a", "_b"))
-    return agreement.with_intervals(agreement.agreement_table(pairs), pairs, n_draws=2000, seed=coders.SEED)
+    return agreement.with_intervals(agreement.agreement_table(pairs), pairs)
 
 
 @query()

@@ -1,8 +1,10 @@
 """Queries over all rows of their tables, against the SQL of the same operator over some of them where it has such."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import coders
 from quern.operators import agreement
 from quern.plans import catalogue
 
@@ -25,3 +27,24 @@ def test_error_rows_with_nulls(spark):
     rows = [(1, 1, 1, 0), (2, 1, 0, 0), (3, 0, 1, 0), (4, 0, 0, 1), (5, None, 0, 1), (6, 1, 1, None), (7, 1, 1, 1), (1, 1, 1, 0)]
     out = agreement.error_rows(spark.createDataFrame(rows, "i int, a int, b int, t int"), "a", "b", "t", "i").collect()
     assert sorted(tuple(r) for r in out) == [("FN", "only_b", 5), ("FN", "shared", 4), ("FP", "only_a", 2), ("FP", "only_b", 3), ("FP", "shared", 1)]
+
+
+def test_kappa_intervals_are_of_all_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    out = {r["variable"]: r for r in catalogue.QUERIES["kappa_bootstrap"](spark, folder).collect()}
+    n = catalogue.table(spark, folder, "orders").count()
+    assert {v: r["n"] for v, r in out.items()} == {"inflation_attention": n, "inflation_outlook": n}
+    for r in out.values():
+        assert r["kappa_low"] < r["kappa"] < r["kappa_high"] < r["kappa_low"] + 0.05
+        assert r["agreement_low"] < r["agreement"] < r["agreement_high"]
+
+
+def test_cells_draw_like_items():
+    rng = np.random.default_rng(3)
+    a = rng.integers(-1, 2, 400)
+    b = np.where(rng.random(400) < 0.7, a, rng.integers(-1, 2, 400))
+    cells, count = np.unique(np.stack([a, b]), axis=1, return_counts=True)
+    by_cell = coders.bootstrap_kappa_cells_ci(*cells, count, [-1, 0, 1])
+    assert by_cell == pytest.approx(coders.bootstrap_kappa_ci(a, b, [-1, 0, 1]), abs=0.006)
+    assert by_cell == coders.bootstrap_kappa_cells_ci(*cells, count, [-1, 0, 1])
+    assert all(np.isnan(coders.bootstrap_kappa_cells_ci([1], [1], [7], [0, 1])))
