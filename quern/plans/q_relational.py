@@ -227,12 +227,21 @@ def chained_join(spark, sf_dir):
     return j.groupBy("n_name", ordered.month_label(F.col("o_orderdate")).alias("month")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+def _scalars(p):
+    key = F.col("o_orderkey")
+    return p.select("o_orderkey", r6(scalars.clip(F.col("o_totalprice") / 290001, 0.0, 1.0)).alias("clipped"), scalars.round_even(key / F.lit(2.0)).cast("long").alias("halves"), scalars.signed(F.col("outl")).alias("sign"), scalars.mapped(F.col("o_custkey") % 3, {0: "zero", 1: "one"}, "other").alias("name"), scalars.row_sum([F.col("att"), F.col("outl"), F.col("att_b")]).alias("total"), scalars.contained(F.lit("7"), key.cast("string")).alias("has_seven"), scalars.shift_quarters(F.col("d"), -1).alias("before"))
+
+
 @query("""SELECT o_orderkey, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, o_totalprice / 290001)), 6) AS clipped, round_even(o_orderkey / 2.0::DOUBLE, 0)::BIGINT AS halves, printf('%+d', outl) AS sign, CASE o_custkey % 3 WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'other' END AS name,
  (att + outl + att_b)::INT AS total, contains(o_orderkey::VARCHAR, '7') AS has_seven, (date_trunc('quarter', d) - INTERVAL 3 MONTH)::DATE AS before FROM """ + PANEL_SQL + " WHERE o_orderkey <= 5000")
 def scalar_functions(spark, sf_dir):
-    p = panel(spark, sf_dir).where("o_orderkey <= 5000")
-    key = F.col("o_orderkey")
-    return p.select("o_orderkey", r6(scalars.clip(F.col("o_totalprice") / 290001, 0.0, 1.0)).alias("clipped"), scalars.round_even(key / F.lit(2.0)).cast("long").alias("halves"), scalars.signed(F.col("outl")).alias("sign"), scalars.mapped(F.col("o_custkey") % 3, {0: "zero", 1: "one"}, "other").alias("name"), scalars.row_sum([F.col("att"), F.col("outl"), F.col("att_b")]).alias("total"), scalars.contained(F.lit("7"), key.cast("string")).alias("has_seven"), scalars.shift_quarters(F.col("d"), -1).alias("before"))
+    return _scalars(panel(spark, sf_dir).where("o_orderkey <= 5000"))
+
+
+@query("""SELECT o_orderkey, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, o_totalprice / 290001)), 6) AS clipped, round_even(o_orderkey / 2.0::DOUBLE, 0)::BIGINT AS halves, printf('%+d', outl) AS sign, CASE o_custkey % 3 WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'other' END AS name,
+ (att + outl + att_b)::INT AS total, contains(o_orderkey::VARCHAR, '7') AS has_seven, (date_trunc('quarter', d) - INTERVAL 3 MONTH)::DATE AS before FROM """ + PANEL_SQL)
+def scalar_functions_whole(spark, sf_dir):
+    return _scalars(panel(spark, sf_dir))
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey LIMIT 30")

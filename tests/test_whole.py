@@ -48,3 +48,11 @@ def test_cells_draw_like_items():
     assert by_cell == pytest.approx(coders.bootstrap_kappa_ci(a, b, [-1, 0, 1]), abs=0.006)
     assert by_cell == coders.bootstrap_kappa_cells_ci(*cells, count, [-1, 0, 1])
     assert all(np.isnan(coders.bootstrap_kappa_cells_ci([1], [1], [7], [0, 1])))
+
+
+def test_scalar_functions_have_every_order(spark):
+    folder = "/root/testdata/sf0.01"
+    out = catalogue.QUERIES["scalar_functions_whole"](spark, folder).cache()
+    assert out.count() == catalogue.table(spark, folder, "orders").count() > 5001
+    oracle.same(out, catalogue.ORACLES["scalar_functions_whole"], folder)
+    oracle.same(out.where("o_orderkey <= 5000"), catalogue.ORACLES["scalar_functions"], folder)
