@@ -88,6 +88,15 @@ def holm_adjust(spark, sf_dir):
     return out.select("k", "i", "p", F.round("p_holm", 9).alias("p_holm"))
 
 
+_P_WHOLE = "(SELECT c_mktsegment AS k, c_custkey AS i, (c_custkey % 97) / 500.0::DOUBLE AS p FROM customer)"
+
+
+@query(f"SELECT k, i, p, round(max(s) OVER (PARTITION BY k ORDER BY p, i ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM (SELECT *, least(1.0::DOUBLE, (count(*) OVER (PARTITION BY k) - row_number() OVER (PARTITION BY k ORDER BY p, i) + 1) * p) AS s FROM {_P_WHOLE})")
+def holm_adjust_whole(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.col("c_mktsegment").alias("k"), (F.col("c_custkey") % 97 / F.lit(500.0)).alias("p"))
+    return ordered.holm(c, "p", ["k"]).select("k", "i", "p", F.round("p_holm", 9).alias("p_holm"))
+
+
 @query("SELECT o_custkey, count(*)::BIGINT AS n, floor(4 * pow(count(*) / 100.0::DOUBLE, 2.0::DOUBLE / 9))::BIGINT AS lags, (CASE WHEN round(cbrt(count(*)))^3 = count(*) THEN round(cbrt(count(*))) ELSE ceil(cbrt(count(*))) END)::BIGINT AS block FROM orders GROUP BY 1")
 def nw_bandwidth(spark, sf_dir):
     out = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))

@@ -56,3 +56,11 @@ def test_scalar_functions_have_every_order(spark):
     assert out.count() == catalogue.table(spark, folder, "orders").count() > 5001
     oracle.same(out, catalogue.ORACLES["scalar_functions_whole"], folder)
     oracle.same(out.where("o_orderkey <= 5000"), catalogue.ORACLES["scalar_functions"], folder)
+
+
+def test_holm_has_every_customer(spark):
+    folder = "/root/testdata/sf0.1"
+    out = catalogue.QUERIES["holm_adjust_whole"](spark, folder).cache()
+    oracle.same(out, catalogue.ORACLES["holm_adjust_whole"], folder)
+    assert out.count() == catalogue.table(spark, folder, "customer").count()
+    assert out.groupBy("k").count().agg(F.min("count")).first()[0] > 1000
