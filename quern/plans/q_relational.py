@@ -72,6 +72,15 @@ def full_outer_align(spark, sf_dir):
     return relational.align([daily("orders", "o_orderdate", "n_orders", "o_custkey % 2 = 0"), daily("lineitem", "l_shipdate", "n_shipped", "l_partkey % 3 = 0"), daily("events", "ts", "n_events")], "d")
 
 
+@query("""SELECT coalesce(a.d, b.d, c.d) AS d, a.n AS n_orders, b.n AS n_shipped, c.n AS n_events FROM (SELECT o_orderdate::DATE AS d, count(*)::BIGINT AS n FROM orders GROUP BY 1) a
+ FULL JOIN (SELECT l_shipdate::DATE AS d, count(*)::BIGINT AS n FROM lineitem GROUP BY 1) b ON a.d = b.d FULL JOIN (SELECT ts::DATE AS d, count(*)::BIGINT AS n FROM events GROUP BY 1) c ON coalesce(a.d, b.d) = c.d""")
+def full_outer_align_whole(spark, sf_dir):
+    def daily(name, at, n):
+        return table(spark, sf_dir, name).groupBy(F.to_date(at).alias("d")).agg(F.count("*").alias(n))
+
+    return relational.align([daily("orders", "o_orderdate", "n_orders"), daily("lineitem", "l_shipdate", "n_shipped"), daily("events", "ts", "n_events")], "d")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def semi_ids(spark, sf_dir):
     ids = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))

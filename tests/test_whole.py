@@ -64,3 +64,27 @@ def test_holm_has_every_customer(spark):
     oracle.same(out, catalogue.ORACLES["holm_adjust_whole"], folder)
     assert out.count() == catalogue.table(spark, folder, "customer").count()
     assert out.groupBy("k").count().agg(F.min("count")).first()[0] > 1000
+
+
+@pytest.mark.parametrize("name", ["event_to_quarter_whole", "full_outer_align_whole", "ffill_daily_whole", "eop_avg_quarter_whole"])
+def test_series_of_all_rows(spark, name):
+    folder = "/root/testdata/sf0.1"
+    got = oracle.same(catalogue.QUERIES[name](spark, folder), catalogue.ORACLES[name], folder)
+    orders = catalogue.table(spark, folder, "orders").withColumn("d", F.to_date("o_orderdate")).cache()
+    if name == "event_to_quarter_whole":
+        assert sum(r["target"] for r in got) == pytest.approx(orders.agg(F.sum("o_totalprice")).first()[0] / 1000)
+    elif name == "full_outer_align_whole":
+        counts = {c: catalogue.table(spark, folder, t).count() for c, t in (("n_orders", "orders"), ("n_shipped", "lineitem"), ("n_events", "events"))}
+        assert {c: sum(r[c] or 0 for r in got) for c in counts} == counts
+    elif name == "ffill_daily_whole":
+        v = {r["d"]: r["v"] for r in got}
+        days = orders.groupBy("d").agg(F.max("o_totalprice").alias("top")).collect()
+        assert all(v[r["d"]] == r["top"] // 10000 * 10000 for r in days) and min(v) == min(r["d"] for r in days) and max(v) == max(r["d"] for r in days)
+
+
+def test_changes_leave_gaps(spark):
+    from quern.plans import q_ordered
+
+    for scale in ("sf0.001", "sf0.1"):
+        one = q_ordered._changes_whole(spark, f"/root/testdata/{scale}").agg(F.count("*").alias("n"), F.date_diff(F.max("d"), F.min("d")).alias("days")).first()
+        assert 2 < one["n"] < 0.9 * one["days"]
