@@ -31,7 +31,7 @@ def corr_hac(spark, sf_dir):
 
 @query()
 def block_bootstrap(spark, sf_dir):
-    return inference.correlation_rows(_stacked(spark, sf_dir), ["spec"], {"p~n": 1, "p~f": -1, "n~f": 1}, n_draws=2000)
+    return inference.correlation_rows(_stacked(spark, sf_dir), ["spec"], {"p~n": 1, "p~f": -1, "n~f": 1})
 
 
 @query()

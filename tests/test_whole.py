@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import coders
+from quern.functions import coders, series
 from quern.operators import agreement
 from quern.plans import catalogue
 
@@ -88,3 +88,13 @@ def test_changes_leave_gaps(spark):
     for scale in ("sf0.001", "sf0.1"):
         one = q_ordered._changes_whole(spark, f"/root/testdata/{scale}").agg(F.count("*").alias("n"), F.date_diff(F.max("d"), F.min("d")).alias("days")).first()
         assert 2 < one["n"] < 0.9 * one["days"]
+
+
+def test_block_bootstrap_has_the_default_draws(spark, monkeypatch):
+    from quern.operators import inference
+    from quern.plans import q_kernels
+
+    seen = {}
+    monkeypatch.setattr(inference, "correlation_rows", lambda df, by, expected=None, min_lags=0, n_draws=series.DRAWS: seen.setdefault("n", n_draws))
+    q_kernels.block_bootstrap(spark, SMALL)
+    assert seen == {"n": 10_000}
