@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
@@ -19,10 +19,9 @@ def clean(raw: DataFrame, years: tuple[int, int] = YEARS) -> DataFrame:
     return rows.withColumns({"year": F.year("date"), "quarter": F.quarter("date")})
 
 
-def numbered(rows: DataFrame, order: list[str], prefix: str = "doc_", width: int = 4, to: str = "speech_id") -> DataFrame:
-    """Ids by place in a total order (nulls last): ranks inside range partitions, shifted by the counts before, so no task sees all rows."""
+def placed(rows: DataFrame, by: list[Column], to: str = "place") -> DataFrame:
+    """Places, from 1, in a total order: ranks inside range partitions, shifted by the counts before, so no task sees all rows."""
     spark = rows.sparkSession
-    by = [F.col(c).asc_nulls_last() for c in order]
     dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
     dealt = dealt.withColumn("_in", F.col("_in").bitwiseAND((1 << 33) - 1)).persist()
     counts = dict(dealt.groupBy("_part").count().collect())  # one row a partition
@@ -31,8 +30,12 @@ def numbered(rows: DataFrame, order: list[str], prefix: str = "doc_", width: int
         before[p] = total
         total += counts[p]
     offsets = spark.createDataFrame(list(before.items()) or [(0, 0)], "_part int, _before long")
-    n = F.col("_in") + F.col("_before") + 1
-    return dealt.join(F.broadcast(offsets), "_part").withColumn(to, F.format_string(f"{prefix}%0{width}d", n)).drop("_part", "_in", "_before")
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(to, F.col("_in") + F.col("_before") + 1).drop("_part", "_in", "_before")
+
+
+def numbered(rows: DataFrame, order: list[str], prefix: str = "doc_", width: int = 4, to: str = "speech_id") -> DataFrame:
+    """Ids by place in a total order (nulls last)."""
+    return placed(rows, [F.col(c).asc_nulls_last() for c in order], to).withColumn(to, F.format_string(f"{prefix}%0{width}d", F.col(to)))
 
 
 def numbered_by_window(rows: DataFrame, order: list[str], prefix: str = "doc_", width: int = 4, to: str = "speech_id") -> DataFrame:

@@ -258,6 +258,12 @@ def mixed_sort(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderpriority"), "o_totalprice", "o_orderkey").limit(30).select("o_orderkey", "o_orderpriority")
 
 
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority DESC NULLS LAST, o_totalprice NULLS FIRST, o_orderkey NULLS FIRST)::BIGINT AS place FROM orders")
+def mixed_sort_whole(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return panels.placed(o, [F.desc("o_orderpriority"), F.asc("o_totalprice"), F.asc("o_orderkey")]).drop("o_totalprice")
+
+
 @query("SELECT o_custkey, bool_or(o_orderstatus = 'F') AS any_final, bool_and(o_totalprice > 50000) AS all_large, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS dearest, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS cheapest FROM orders GROUP BY 1")
 def any_all_extremes(spark, sf_dir):
     by = F.struct("o_totalprice", "o_orderkey")

@@ -90,6 +90,14 @@ def test_changes_leave_gaps(spark):
         assert 2 < one["n"] < 0.9 * one["days"]
 
 
+def test_mixed_sort_places_every_order(spark):
+    folder = "/root/testdata/sf0.01"
+    out = catalogue.QUERIES["mixed_sort_whole"](spark, folder).cache()
+    oracle.same(out, catalogue.ORACLES["mixed_sort_whole"], folder)
+    assert out.count() == catalogue.table(spark, folder, "orders").count() > 30
+    oracle.same(out.where("place <= 30").drop("place"), catalogue.ORACLES["mixed_sort"], folder)
+
+
 def test_block_bootstrap_has_the_default_draws(spark, monkeypatch):
     from quern.operators import inference
     from quern.plans import q_kernels
