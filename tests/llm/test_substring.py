@@ -55,6 +55,19 @@ def test_equals_brute_force(spark, seed, batch):
     assert sorted(got) == brute([(r["doc_id"], r["text"]) for r in source.collect()])
 
 
+@pytest.mark.parametrize("tail", [80, 5, 0])
+def test_one_id_with_several_texts(spark, tail):
+    """Longer, shorter and equal texts of one id: each row loses its own words only."""
+    rng = random.Random(tail)
+    shared, own = prose(rng, 60), " ".join(f"u{k}" for k in range(80))
+    rows = [(1, shared), (5, shared + " tail of it"), (5, own[: 6 * tail]), (5, own), (5, shared), (5, shared), (2, own), (None, shared), (None, "x"), (7, None)]
+    rows += [(5, prose(rng, 30)) for _ in range(10)] + [(9, shared[:200] + " " + own)] * 2
+    source = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in substring.remove(source).select("doc_id", "n_words", "n_removed", "kept").collect()]
+    assert sorted(r for r in got if r[0] is not None) == brute([r for r in rows if r[0] is not None])
+    assert sorted(r[1:] for r in got if r[0] is None) == [(1, 0, "x"), (60, 0, shared)]
+
+
 def test_empty(spark):
     assert substring.remove(docs(spark, ["x"]).limit(0)).collect() == []
 
