@@ -11,23 +11,33 @@ yet. So a text costs one hash for each shingle, and some hundreds of darts.
 Two signatures agree at a coordinate with the probability of the weighted
 Jaccard similarity, whatever the sizes.
 
-Signatures are cut into bands; documents that agree on a band are candidates.
-Exact copies (of the words, in lower case) are one candidate. A bucket's
-members are compared with its least member in exact weighted Jaccard
-similarity, on whole texts; links make classes (connected components, found by
-minima that run along links; nothing is collected). Where a bucket still holds
-several classes, its members' sketches (``COORDINATES`` coordinates, a byte of
-each dart) are compared across classes, block by block, and pairs whose sketches
-agree often enough, and that are about as far as each other from each head they
-share (Jaccard distance is a metric), are compared in full: first the likeliest few of each
-document, then, in new classes, all, each pair in the first band that it shares. So a large group of copies costs blocks of byte comparisons, and
-pairs only where a link may still matter.
+Signatures are cut into bands; texts that agree on a band are candidates. A node
+is a distinct text: exact copies (of the words, in lower case) are one. A
+bucket's members are compared with its head in exact weighted Jaccard
+similarity, on whole texts. The head is the member with the most neighbours in
+all its buckets: of a group of edited copies that is the one with the fewest
+edits, as a rule, and it links most of the others. Links make classes
+(connected components, found by minima that run along links; nothing is
+collected). Where a bucket still holds several classes, its members' sketches
+(``COORDINATES`` coordinates, a byte of each dart) are compared across classes,
+block by block, and pairs whose sketches agree often enough, and that are about
+as far as each other from each head they share (Jaccard distance is a metric),
+are compared in full: first the likeliest few of each node, then, in new
+classes, all, each pair in the first band that it shares. So a large group of
+copies costs blocks of byte comparisons, and pairs only where a link may still
+matter.
+
+Joins on a class or a head meet one key very often where a class is large; the
+other side has one row of a key, and these rows are a few numbers, so Spark's
+adaptive skew join splits such a key over tasks.
 
 Defined results: a class is named by its smallest document id, so a document
 without near-duplicates is a class of its own; so is every null or blank text;
-a text of fewer than five words is one shingle; repeated rows of one id are one
-document; ids that are null are left out; an empty table has no rows; columns
-other than the id and the text are ignored. Texts of any length are read whole.
+a text of fewer than five words is one shingle; rows of one id are one document,
+and where their texts differ it is near whatever one of them is near to; ids
+that are null are left out; an empty table has no rows; columns other than the
+id and the text are ignored. Texts of any length are read whole.
+``deduplicated`` judges rows, not ids: see there.
 """
 
 from __future__ import annotations
@@ -135,9 +145,9 @@ def scan(texts: pa.Array) -> textscan.Words:
 
 
 def described(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """doc_id, key (128 bits of all words; null without words), n (shingles), bands (a hash each), sketch."""
-    schema = "doc_id long, key binary, n long, bands array<long>, sketch binary"
-    arrow = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """doc_id, variant, key (128 bits of all words; null without words), n (shingles), bands (a hash each), sketch."""
+    schema = "doc_id long, variant long, key binary, n long, bands array<long>, sketch binary"
+    arrow = pa.schema([("doc_id", pa.int64()), ("variant", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
     width = max(COORDINATES, bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +175,7 @@ def described(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
                 key = pa.array([raw[16 * k : 16 * k + 16] if ok else None for k, ok in enumerate(has.tolist())], pa.binary())
                 flat = pa.array(band.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), flat)
-                yield pa.record_batch([batch.column(0).slice(i, n), key, pa.array(np.bincount(text, minlength=n)), lists, pa.array([sketch[width * k : width * (k + 1)] for k in range(n)], pa.binary())], schema=arrow)
+                yield pa.record_batch([batch.column(0).slice(i, n), batch.column(2).slice(i, n), key, pa.array(np.bincount(text, minlength=n)), lists, pa.array([sketch[width * k : width * (k + 1)] for k in range(n)], pa.binary())], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
@@ -203,7 +213,7 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     own = part.slice(k, 256)
                     yield pa.record_batch([own.column(0), own.column(1), pa.array(similarity(own.column(2), own.column(3), size))], names=["a", "b", "s"])
 
-    ta, tb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, schema)
 
 
@@ -223,11 +233,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def unsettled(members: DataFrame, label: DataFrame, heads: DataFrame, near: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one class, with class, size, bands, sketch and similarities to their buckets' heads."""
-    known = members.join(label, members["doc_id"] == label["id"], "left").select("band", "v", "doc_id", F.coalesce("class", "doc_id").alias("class"))
+    known = members.join(label, members["node"] == label["id"], "left").select("band", "v", "node", F.coalesce("class", "node").alias("class"))
     known = store.saved(known, "minhash-known")
     split = known.groupBy("band", "v").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band", "v", "m")
     rest = store.saved(known.join(store.saved(split, "minhash-split"), ["band", "v"]), "minhash-rest")
-    return rest.join(heads.select("doc_id", "n", "bands", "sketch"), "doc_id").join(near, "doc_id")
+    return rest.join(heads.select("node", "n", "bands", "sketch"), "node").join(near, "node")
 
 
 def likely(rest: DataFrame, threshold: float, agreeing: float, first: int | None) -> DataFrame:
@@ -238,18 +248,18 @@ def likely(rest: DataFrame, threshold: float, agreeing: float, first: int | None
     and the two beside it, for its so many likeliest partners in each.
     """
     blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     others = F.sequence(F.lit(0), blocks - 1)
     if first is not None:
         others = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.pmod(own + k, blocks)))
-    asks = F.col("band") == F.min("band").over(Window.partitionBy("doc_id"))
+    asks = F.col("band") == F.min("band").over(Window.partitionBy("node"))
     dealt = rest.withColumns({"own": own, "other": F.explode(others), "asks": asks if first is not None else F.lit(True)})
-    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "asks", "band", "v", "doc_id", "class", "n", "bands", "sketch", "near")
+    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "asks", "band", "v", "node", "class", "n", "bands", "sketch", "near")
 
     def run(table: pa.Table) -> pa.Table:
         own = table.column("own").to_numpy()
         i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
-        doc, cls, n = (table.column(c).to_numpy() for c in ("doc_id", "class", "n"))
+        doc, cls, n = (table.column(c).to_numpy() for c in ("node", "class", "n"))
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
         sketch = np.frombuffer(b"".join(x.as_py() for x in table.column("sketch")), np.uint8).reshape(len(doc), -1)
         listed = table.column("near").combine_chunks()
@@ -293,24 +303,27 @@ def likely(rest: DataFrame, threshold: float, agreeing: float, first: int | None
     return dealt.groupBy("band", "v", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", first_pairs: int = FIRST_PAIRS) -> DataFrame:
-    """doc_id and class_id, a row for each document."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    each = store.saved(described(docs, bands, rows, size), "minhash-signatures")
-    one = each.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("r")).select("key", "r.*")
+def linked(docs: DataFrame, threshold: float, size: int, bands: int, rows: int, first_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text, variant): each row's description, the heads (a node with its least row) and the nodes' classes (id, class)."""
+    each = store.saved(described(docs, bands, rows, size).withColumn("node", F.monotonically_increasing_id()), "minhash-signatures")
+    one = each.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "variant", "node", "n", "bands", "sketch")).alias("r")).select("key", "r.*")
     heads = store.saved(one, "minhash-texts")
-    entries = heads.select(F.posexplode("bands").alias("band", "v"), "doc_id")
-    first = entries.groupBy("band", "v").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("band", "v", "head")
-    members = store.saved(entries.join(store.saved(first, "minhash-buckets"), ["band", "v"]), "minhash-members")
-    texts = store.saved(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-candidates")
-    star = members.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
+    entries = heads.select(F.posexplode("bands").alias("band", "v"), "node")
+    shared = entries.groupBy("band", "v").agg(F.count("*").alias("m")).where("m > 1")
+    entries = store.saved(entries.join(store.saved(shared, "minhash-buckets"), ["band", "v"]), "minhash-entries")
+    entries = entries.join(entries.groupBy("node").agg(F.sum("m").alias("w")), "node")
+    chosen = entries.groupBy("band", "v").agg(F.max(F.struct("w", (-F.col("node")).alias("node"))).alias("r")).select("band", "v", (-F.col("r.node")).alias("head"))
+    members = store.saved(entries.select("band", "v", "node").join(chosen, ["band", "v"]), "minhash-members")
+    wanted = heads.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "variant", "node")
+    texts = store.saved(docs.join(wanted, ["doc_id", "variant"]).select("node", "text").dropDuplicates(["node"]), "minhash-candidates")
+    star = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     done = store.saved(compared(star, texts, size), "minhash-star")
     links = done.where(F.col("s") >= threshold).select("a", "b")
-    each_head = members.join(done, (F.col("doc_id") == F.col("a")) & (F.col("head") == F.col("b")), "left").select("doc_id", "band", F.coalesce("s", F.lit(1.0)).cast("float").alias("s"))
-    near = store.saved(each_head.groupBy("doc_id").agg(F.collect_list(F.struct("band", "s")).alias("near")), "minhash-near")  # at most a row's bands
+    each_head = members.join(done, (F.col("node") == F.col("a")) & (F.col("head") == F.col("b")), "left").select("node", "band", F.coalesce("s", F.lit(1.0)).cast("float").alias("s"))
+    near = store.saved(each_head.groupBy("node").agg(F.collect_list(F.struct("band", "s")).alias("near")), "minhash-near")  # at most a row's bands
     label = components(links)
     least = AGREEING + (threshold - THRESHOLD)
-    seen = done.select(F.col("b").alias("a"), F.col("a").alias("b"))  # pairs stand with the smaller id first
+    seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()  # pairs stand with the smaller first
     for at_most in (first_pairs, None):
         rest = unsettled(members, label, heads, near)
         more = store.saved(likely(rest, threshold, least, at_most).distinct().join(seen, ["a", "b"], "left_anti"), "minhash-likely")
@@ -319,7 +332,50 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
         if new.limit(1).count():
             links = links.union(new)
             label = components(links)
-    named = heads.join(label, heads["doc_id"] == label["id"], "left").select("key", F.coalesce("class", "doc_id").alias("class_id"))
-    named = store.saved(named, "minhash-classes")
-    all_ = each.select("doc_id", "key").dropDuplicates(["doc_id"])
+    return each, heads, label
+
+
+def grouped(heads: DataFrame, label: DataFrame) -> DataFrame:
+    """Of each head: its key and the least row (class_id, class_variant) of its class."""
+    known = heads.join(label, heads["node"] == label["id"]).select("node", "doc_id", "variant", "class")
+    least = known.groupBy("class").agg(F.min(F.struct("doc_id", "variant")).alias("r"))
+    named = known.join(least, "class").select("node", F.col("r.doc_id").alias("class_id"), F.col("r.variant").alias("class_variant"))
+    return heads.join(named, "node", "left").select("key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_variant", "variant").alias("class_variant"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("variant"), *more)
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", first_pairs: int = FIRST_PAIRS) -> DataFrame:
+    """doc_id and class_id, a row for each document."""
+    docs = _rows(docs, id_col, text_col).where("doc_id is not null")
+    each, heads, label = linked(docs, threshold, size, bands, rows, first_pairs)
+    # An id with several texts holds their classes together.
+    several = each.where("key is not null").groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("doc_id")
+    if several.limit(1).count():
+        held = each.where("key is not null").select("doc_id", "key").distinct().join(several, "doc_id").join(heads.select("key", "node"), "key")
+        first = held.groupBy("doc_id").agg(F.min("node").alias("b"))
+        label = components(label.select(F.col("id").alias("a"), F.col("class").alias("b")).union(held.join(first, "doc_id").select(F.col("node").alias("a"), "b")).where("a <> b"))
+    named = store.saved(grouped(heads, label), "minhash-classes")
+    all_ = each.groupBy("doc_id").agg(F.max("key").alias("key"))
     return all_.join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", first_pairs: int = FIRST_PAIRS) -> DataFrame:
+    """One row of each group of near-duplicate texts, whole: the one of the smallest id (then hash of the text).
+
+    Here rows are documents: texts that only share an id all stay. Of rows with
+    equal id and text one stays, that with the least hash of all its columns.
+    Rows without words are no one's duplicates; rows without an id stay as they are.
+    """
+    packed = _rows(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    each, heads, label = linked(packed.where("doc_id is not null").drop("row"), threshold, size, bands, rows, first_pairs)
+    named = store.saved(grouped(heads, label), "minhash-classes")
+    known = each.groupBy("doc_id", "variant").agg(F.count("*").alias("n"), F.max("key").alias("key")).join(named, "key", "left")
+    gone = F.coalesce((F.col("doc_id") != F.col("class_id")) | (F.col("variant") != F.col("class_variant")), F.lit(False))
+    marks = store.saved(known.select("doc_id", "variant", "n", gone.alias("gone")).where("gone or n > 1"), "minhash-marks")
+    marked = packed.drop("text").join(marks, ["doc_id", "variant"], "left")
+    once = marked.where("not gone").groupBy("doc_id", "variant").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return marked.where("gone is null").select("row.*").unionByName(once.select("row.*"))

@@ -96,6 +96,43 @@ def test_links_between_members_of_a_bucket(spark):
     assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs(spark, texts), rows=1).collect()} == brute(list(enumerate(texts)))
 
 
+def test_one_id_with_several_texts(spark):
+    """A document is near what one of its texts is near to, and no text is lost or taken for another."""
+    rng = random.Random(21)
+    a, b, c, d = (varied(rng, 100) for _ in range(4))
+    rows = [(1, edited(rng, a, 1)), (7, a), (7, b), (3, edited(rng, b, 1)), (7, b), (9, c), (9, d), (4, edited(rng, d, 1)), (11, None), (11, varied(rng, 50)), (None, a), (12, ""), (12, None)]
+    rows += [(20 + k, edited(rng, c, 1)) for k in range(4)]
+    want = {1: 1, 7: 1, 3: 1, 9: 4, 4: 4, 11: 11, 12: 12, **{20 + k: 4 for k in range(4)}}
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        assert {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == want
+
+
+def test_deduplicated_rows(spark):
+    """Distinct texts of one id both stay; equal rows stay once; clashing names come back as they were."""
+    rng = random.Random(22)
+    a, b, c = (varied(rng, 100) for _ in range(3))
+    rows = [(7, a, "x"), (7, b, "x"), (8, edited(rng, a, 1), "x"), (7, a, "y"), (9, c, "x"), (9, c, "x"), (5, None, "x"), (5, None, "x"), (6, "", "x"), (None, a, "x"), (None, a, "x")]
+    named = [(*r, 1, 2, True, "k", 3.5) for r in rows]
+    source = spark.createDataFrame(named, "doc_id long, text string, variant string, node int, n int, gone boolean, key string, row double")
+    out = minhash.deduplicated(source.repartition(3))
+    assert out.columns == source.columns
+    got = [tuple(r) for r in out.collect()]
+    assert all(r in named for r in got)
+    assert sorted((str(r[0]), str(r[1])) for r in got) == sorted((str(i), str(t)) for i, t in [(7, a), (7, b), (9, c), (5, None), (6, ""), (None, a), (None, a)])
+    assert minhash.deduplicated(source.limit(0)).collect() == []
+
+
+def test_bucket_of_members_far_from_each_other(spark, monkeypatch):
+    """Many texts of one bucket, hardly any two of them linked, over several blocks: no link is lost."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    rng = random.Random(5)
+    base = varied(rng, 300)
+    texts = [edited(rng, base, rng.choice([8, 9, 10, 11])) for _ in range(90)]
+    texts += [edited(rng, texts[k], 3) for k in range(0, 60, 6)]
+    assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs(spark, texts)).collect()} == brute(list(enumerate(texts)))
+
+
 def test_empty(spark):
     assert minhash.classes(docs(spark, ["x"]).limit(0)).collect() == []
     assert [tuple(r) for r in minhash.classes(docs(spark, ["a b c d e f"])).collect()] == [(0, 0)]
