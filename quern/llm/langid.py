@@ -18,8 +18,8 @@ source or one long text can't crowd out the rest.
 Defined results: a null text, or one without any letter, is ``und`` with score
 0; ties go to the language first in order; documents with a null or empty
 label don't train; with no labelled document at all everything is ``und``;
-repeated rows are judged each; columns other than the id, the text and (in
-training) the label are ignored. Texts of any length are read whole.
+repeated rows are judged each; other columns come back as they were, whatever
+their names; only the text and (in training) id and label are looked at. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textscan
+from . import store, textscan
 
 BLOCK = 512
 TRAIN_DOCS, TRAIN_BYTES = 256, 30_000
+#: Phrases a byte beyond which even the winning language doesn't know a text.
+STRANGE_RATE = 0.6
 
 #: Bytes of normalised text: letters stay, in lower case, anything else in ASCII is a space.
 _FOLD = np.full(256, 32, np.uint8)
@@ -47,7 +49,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised bytes and n + 1 offsets; each text that isn't empty ends with one space."""
+    """Normalised bytes and n + 1 offsets. A text begins with a letter, and ends with a space if anything stands behind its last one."""
     data, offsets = textscan.string_bytes(texts)
     folded = _FOLD[data]
     keep = folded != 32
@@ -194,34 +196,43 @@ def lettered(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and rate of each text. The score is by what part the winner needs fewer phrases than the second; the rate is the winner's phrases a byte."""
+def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, rate and strangeness of each text. The score is by what part the winner needs fewer phrases than the second; the rate is the winner's phrases a byte."""
     data, offsets = normalised(texts)
     if not model.languages:
-        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
     need = phrases(data, offsets, model)
     best = need.argmin(1)
     ranked = np.sort(need, 1)
     score = 1 - ranked[:, 0] / np.maximum(ranked[:, 1], 1) if need.shape[1] > 1 else np.ones(len(texts))
     ok = lettered(texts)
-    return [model.languages[b] if good else "und" for b, good in zip(best.tolist(), ok.tolist(), strict=True)], np.where(ok, score, 0.0), np.where(ok, ranked[:, 0] / np.maximum(np.diff(offsets), 1), 0.0)
+    return [model.languages[b] if good else "und" for b, good in zip(best.tolist(), ok.tolist(), strict=True)], np.where(ok, score, 0.0), np.where(ok, ranked[:, 0] / np.maximum(np.diff(offsets), 1), 0.0), ok & strange(ranked[:, 0], np.diff(offsets))
+
+
+def strange(phrases: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a text of so many bytes is surely no text of its language.
+
+    Its first phrase is no evidence, as every text has one. It is strange if the
+    others are more than ``STRANGE_RATE`` a byte by two standard deviations; a
+    short text can't be told by so few bytes, and isn't.
+    """
+    return phrases - 1 > STRANGE_RATE * size + 2 * np.sqrt(STRANGE_RATE * (1 - STRANGE_RATE) * size)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rate; no shuffle. Columns of these names are replaced."""
-    kept = docs.drop("lang_pred", "score", "rate")
-    names = kept.columns
+    """``docs``, and behind its columns lang_pred, score, rate and strange (underscores are added to names it has); no shuffle."""
+    kept = store.packed(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages x TRAIN_BYTES
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rate", T.DoubleType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rate", T.DoubleType()), T.StructField("strange", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in textscan.pieces(batch.column(text_col), 4 << 20):
+            for i, j in textscan.pieces(batch.column(1), 4 << 20):
                 part = batch.slice(i, j - i)
-                lang, score, rate = predict(part.column(text_col), shared.value)
-                yield pa.record_batch([*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=[*names, "lang_pred", "score", "rate"])
+                lang, score, rate, odd = predict(part.column(1), shared.value)
+                yield pa.record_batch([*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rate), pa.array(odd)], names=["row", "text", "lang_pred", "score", "rate", "strange"])
 
-    return kept.mapInArrow(run, schema)
+    return store.unpacked(kept.mapInArrow(run, schema), docs, text_col, "lang_pred", "score", "rate", "strange")
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
