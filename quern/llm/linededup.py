@@ -19,12 +19,13 @@ beyond that they are joined. The tree is not walked line by line, so the result
 doesn't depend on an order.
 
 Defined results: lines are parts between newlines, tokens parts between spaces,
-tabs and returns; a line of fewer than ``min_tokens`` tokens never recurs, and
-one of fewer than ``MIN_TOKENS`` recurs as it stands, digits and all; a blank
+tabs and returns; a line of fewer than ``SHORT`` tokens recurs as it stands,
+digits and all (``min_tokens`` may leave short lines out altogether); a blank
 line never recurs; a null text has no lines and stays null; a document that loses its last non-blank
 line has an empty text left; removed lines leave no blank line behind; repeated
 rows of one id are treated alike and count once; rows with a null id stay as
-they are and count for nothing; other columns are carried along. Texts of any
+they are and count for nothing, and so do ids that are no integers; other
+columns come back as they were, whatever their names. Texts of any
 length are read whole.
 """
 
@@ -41,7 +42,7 @@ from pyspark.sql import types as T
 
 from . import store, textscan
 
-MIN_DOCS, MIN_TOKENS, DEPTH, SAME = 10, 3, 2, 0.8
+MIN_DOCS, SHORT, DEPTH, SAME = 10, 3, 2, 0.8
 #: Recurring distinct lines that may be broadcast: 16 bytes each.
 KNOWN_LINES = 2_000_000
 #: Bytes of text whose lines share a bucket, about.
@@ -74,7 +75,7 @@ def folded(token: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return textscan.mix(np.add.reduceat(terms, begin) + size.astype(U)) if len(begin) else np.empty(0, U)
 
 
-def lines_of(texts: pa.Array, min_tokens: int = MIN_TOKENS) -> Lines:
+def lines_of(texts: pa.Array, min_tokens: int = 1) -> Lines:
     words = textscan.scan(texts, _TOKEN)
     none = np.empty(0, np.int64)
     if not len(words):
@@ -88,14 +89,14 @@ def lines_of(texts: pa.Array, min_tokens: int = MIN_TOKENS) -> Lines:
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(words)))
     token = exact & _40
-    token[(digits[words.ends] > digits[words.starts]) & np.repeat(size >= MIN_TOKENS, size)] = VARIABLE
+    token[(digits[words.ends] > digits[words.starts]) & np.repeat(size >= SHORT, size)] = VARIABLE
     ok = size >= min_tokens
     kept = np.repeat(ok, size)
     text, nth = text[begin[ok]], at[begin[ok]] - breaks[offsets[text[begin[ok]]]]
     token, exact, size = token[kept], exact[kept], size[ok]
     begin = np.cumsum(size) - size
     # A short line has too few tokens to be told by 40 bits of each.
-    whole = np.where(np.repeat(size < MIN_TOKENS, size), exact, token)
+    whole = np.where(np.repeat(size < SHORT, size), exact, token)
     leaf = size.astype(U)
     for k in range(DEPTH):
         deep = size > k
@@ -124,7 +125,7 @@ def smallest(group: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     return group[ok], doc[ok]
 
 
-def dealt(docs: DataFrame, min_docs: int, buckets: int, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def dealt(docs: DataFrame, min_docs: int, buckets: int, min_tokens: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -195,7 +196,7 @@ def recurring(table: pa.Table, min_docs: int, same: float) -> pa.Table:
     return pa.table({"line": pa.array(line_of[out].view(np.int64)), "keeper": pa.array(keeper[name[out]])})
 
 
-def known_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
+def known_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 1) -> DataFrame:
     """line (a hash) and keeper of every line of a recurring template."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -207,25 +208,25 @@ def _cut(text: str, gone: set[int]) -> str:
     return "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id_col: str = "doc_id", text_col: str = "text", known_limit: int = KNOWN_LINES, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """``docs`` with recurring lines removed from the text, and n_lines and n_dropped (columns of these names are replaced)."""
-    docs = docs.drop("n_lines", "n_dropped")
-    known = store.saved(known_lines(docs, min_docs, same, id_col, text_col, min_tokens), "line-known")
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id_col: str = "doc_id", text_col: str = "text", known_limit: int = KNOWN_LINES, min_tokens: int = 1) -> DataFrame:
+    """``docs`` with recurring lines removed from the text, and behind its columns n_lines and n_dropped (underscores are added to names it has)."""
+    own_id = F.expr(f"try_cast({store.quoted(id_col)} as bigint)")
+    packed = store.packed(docs, text_col, id=own_id)
+    known = store.saved(known_lines(packed, min_docs, same, "id", "text", min_tokens), "line-known")
     if known.count() > known_limit:
-        return _joined(docs, known, id_col, text_col, min_tokens)
+        return store.unpacked(_joined(packed, known, min_tokens), docs, text_col, "n_lines", "n_dropped")
     rows = known.toArrow()  # at most known_limit
     line, keeper = rows.column("line").to_numpy().view(U), rows.column("keeper").to_numpy()
     order = np.argsort(line)
     shared = docs.sparkSession.sparkContext.broadcast((line[order], keeper[order]))
-    names = docs.columns
-    schema = T.StructType([*[T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*packed.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keepers = shared.value
         for batch in batches:
-            for i, j in textscan.pieces(batch.column(text_col)):
+            for i, j in textscan.pieces(batch.column(1)):
                 part = batch.slice(i, j - i)
-                texts, ids = part.column(text_col), part.column(id_col).to_pylist()
+                texts, ids = part.column(1), part.column(2).to_pylist()
                 own = lines_of(texts, min_tokens)
                 slot = np.minimum(np.searchsorted(hashes, own.line), max(len(hashes) - 1, 0))
                 hit = np.flatnonzero(hashes[slot] == own.line) if len(hashes) else np.empty(0, np.int64)
@@ -244,12 +245,12 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id
                 breaks = np.concatenate([[0], np.cumsum(data == 10)])
                 n_lines = np.where(texts.is_valid().to_numpy(zero_copy_only=False), breaks[offsets[1:]] - breaks[offsets[:-1]] + 1, 0)
                 dropped = np.array([len(gone.get(t, ())) for t in range(len(part))], np.int64)
-                yield pa.record_batch([*[left if c == text_col else part.column(c) for c in names], pa.array(n_lines.astype(np.int64)), pa.array(dropped)], names=[*names, "n_lines", "n_dropped"])
+                yield pa.record_batch([part.column(0), left, part.column(2), pa.array(n_lines.astype(np.int64)), pa.array(dropped)], names=["row", "text", "id", "n_lines", "n_dropped"])
 
-    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return store.unpacked(packed.mapInArrow(run, schema), docs, text_col, "n_lines", "n_dropped")
 
 
-def _joined(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
+def _joined(packed: DataFrame, known: DataFrame, min_tokens: int) -> DataFrame:
     """The same where recurring lines are too many to broadcast: lines meet them by hash, documents their lost lines by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,31 +258,44 @@ def _joined(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, min_t
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in textscan.pieces(batch.column(1)):
                 own = lines_of(batch.column(1).slice(i, j - i), min_tokens)
-                yield pa.record_batch([pa.array(ids[i + own.text].astype(np.int64)), pa.array(own.nth.astype(np.int32)), pa.array(own.line.view(np.int64))], names=["_id", "_nth", "line"])
+                yield pa.record_batch([pa.array(ids[i + own.text].astype(np.int64)), pa.array(own.line.view(np.int64))], names=["id", "line"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    lost = rows.mapInArrow(run, "_id long, _nth int, line long").join(known, "line").where("_id > keeper")
-    lost = lost.groupBy("_id").agg(F.collect_set("_nth").alias("_gone"))  # at most a document's lines
-    cut = F.split(F.col(text_col).cast("string"), "\n")
-    joined = docs.join(lost, F.col(id_col) == F.col("_id"), "left")
-    left = F.when(F.col("_gone").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    columns = [left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
+    rows = packed.select("id", "text").where("id is not null and text is not null")
+    # A line goes by its hash, so rows of one id and different texts lose each their own.
+    lost = rows.mapInArrow(run, "id long, line long").distinct().join(known, "line").where("id > keeper")
+    lost = lost.groupBy("id").agg(F.collect_set("line").alias("lost"))  # at most a document's lines
+    schema = T.StructType([*packed.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                part = batch.slice(k, 1)
+                texts, text, lines = part.column(2), part.column(2)[0].as_py(), part.column(3)[0].as_py()
+                gone: set[int] = set()
+                if lines:
+                    own = lines_of(texts, min_tokens)
+                    gone = set(own.nth[np.isin(own.line.view(np.int64), lines)].tolist())
+                left = pa.array([_cut(text, gone)], pa.string()) if gone else texts
+                n = 0 if text is None else text.count("\n") + 1
+                yield pa.record_batch([part.column(1), left, part.column(0), pa.array([n]), pa.array([len(gone)])], names=["row", "text", "id", "n_lines", "n_dropped"])
+
+    return packed.join(lost, "id", "left").mapInArrow(cut, schema)
 
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` without recurring lines of any length, and without the documents that lost all they had to them."""
-    out = drop_lines(docs, min_docs, min_tokens=1)
-    return out.where("n_dropped = 0 or text rlike '[^ \\\\t\\\\r\\\\n]'").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without recurring lines, and without the documents that lost all they had to them."""
+    out = drop_lines(docs, min_docs)
+    dropped = store.column(out.columns[-1])
+    return out.where((dropped == 0) | F.col("text").rlike("[^ \\t\\r\\n]")).select(*[store.column(c) for c in docs.columns])
 
 
-#: The same by SQL, for the query's columns.
-def oracle(min_docs: int = MIN_DOCS, same: float = SAME) -> str:
+#: The same by SQL, for the query's columns and lines of SHORT tokens and more.
+def _long_lines(min_docs: int = MIN_DOCS, same: float = SAME) -> str:
     return f"""
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 raw AS (SELECT doc_id, ls, unnest(range(len(ls))) AS nth FROM cut WHERE doc_id IS NOT NULL),
 tok AS (SELECT doc_id, nth, list_transform(regexp_split_to_array(trim(ls[nth + 1], ' ' || chr(9) || chr(13)), '[ \\t\\r]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM raw),
-l AS (SELECT doc_id, nth, t, array_to_string(t, ' ') AS line, concat_ws(' ', len(t)::VARCHAR, array_to_string(t[1:{DEPTH}], ' ')) AS leaf FROM tok WHERE len(t) >= {MIN_TOKENS}),
+l AS (SELECT doc_id, nth, t, array_to_string(t, ' ') AS line, concat_ws(' ', len(t)::VARCHAR, array_to_string(t[1:{DEPTH}], ' ')) AS leaf FROM tok WHERE len(t) >= {SHORT}),
 held AS (SELECT l.* FROM l JOIN (SELECT leaf FROM l GROUP BY leaf HAVING count(*) >= {min_docs}) USING (leaf)),
 d AS (SELECT leaf, line, any_value(t) AS t, count(DISTINCT doc_id) AS n FROM held GROUP BY leaf, line),
 p AS (SELECT leaf, line, n, t, unnest(range(len(t))) AS pos FROM d),
@@ -297,8 +311,8 @@ FROM cut LEFT JOIN gone USING (doc_id)
 """
 
 
-#: The same with lines of any length: short ones recur as they stand, and share no template with others.
-def whole_oracle(min_docs: int = MIN_DOCS, same: float = SAME) -> str:
-    return oracle(min_docs, same).replace("FROM named", "FROM every_").replace("often AS (", f"""short AS (SELECT doc_id, nth, regexp_split_to_array(trim(ls[nth + 1], ' ' || chr(9) || chr(13)), '[ \\t\\r]+') AS u FROM raw),
-every_ AS (SELECT doc_id, nth, template FROM named UNION ALL SELECT doc_id, nth, array_to_string(u, ' ') FROM short WHERE len(u) < {MIN_TOKENS} AND u <> ['']),
+#: With lines of any length: short ones recur as they stand, and share no template with others.
+def oracle(min_docs: int = MIN_DOCS, same: float = SAME) -> str:
+    return _long_lines(min_docs, same).replace("FROM named", "FROM every_").replace("often AS (", f"""short AS (SELECT doc_id, nth, regexp_split_to_array(trim(ls[nth + 1], ' ' || chr(9) || chr(13)), '[ \\t\\r]+') AS u FROM raw),
+every_ AS (SELECT doc_id, nth, template FROM named UNION ALL SELECT doc_id, nth, array_to_string(u, ' ') FROM short WHERE len(u) < {SHORT} AND u <> ['']),
 often AS (""")

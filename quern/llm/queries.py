@@ -50,12 +50,6 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def op5_whole_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of one and two tokens may recur too, as in the pipeline."""
-    found = linededup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=1)
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
 def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -86,7 +80,6 @@ QUERIES = {
     "op2_dart_minhash": op2_dart_minhash,
     "op3_language_id": op3_language_id,
     "op4_perspective_rotation": op4_perspective_rotation,
-    "op5_whole_line_templates": op5_whole_line_templates,
     "op5_line_templates": op5_line_templates,
     "op6_difference_cover": op6_difference_cover,
     "op7_best_two_fit": op7_best_two_fit,
@@ -142,7 +135,6 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 ORACLES: dict[str, str] = {
     "op1_extendible_sharding": OP1_SQL,
     "op4_perspective_rotation": OP4_SQL,
-    "op5_whole_line_templates": linededup.whole_oracle(),
     "op5_line_templates": linededup.oracle(),
     "op6_difference_cover": OP6_SQL,
     "op10_decontamination": OP10_SQL,

@@ -15,7 +15,7 @@ def brute(texts, min_docs, same=linededup.SAME):
     for i, t in enumerate(texts):
         for n, line in enumerate((t or "").split("\n")):
             w = ["<*>" if re.search("[0-9]", x) else x for x in re.split("[ \t\r]+", line.strip(" \t\r"))]
-            if t is not None and len(w) >= linededup.MIN_TOKENS:
+            if t is not None and len(w) >= linededup.SHORT:
                 lines.append((i, n, tuple(w), (len(w), *w[: linededup.DEPTH])))
     leaves = collections.Counter(x[3] for x in lines)
     lines = [x for x in lines if leaves[x[3]] >= min_docs]
@@ -60,7 +60,7 @@ def sample(seed):
 def test_equals_brute_force(spark, seed, min_docs):
     texts = sample(seed)
     source = docs(spark, texts)
-    got = linededup.drop_lines(source, min_docs)
+    got = linededup.drop_lines(source, min_docs, min_tokens=linededup.SHORT)
     assert got.columns == [*source.columns, "n_lines", "n_dropped"]
     rows = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()}
     assert rows == brute(texts, min_docs) and any(r[2] for r in rows.values())
@@ -68,7 +68,7 @@ def test_equals_brute_force(spark, seed, min_docs):
 
 def test_joined_where_too_many_to_broadcast(spark):
     texts = sample(7)
-    rows = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.drop_lines(docs(spark, texts), 2, known_limit=0).collect()}
+    rows = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.drop_lines(docs(spark, texts), 2, known_limit=0, min_tokens=linededup.SHORT).collect()}
     assert rows == brute(texts, 2)
 
 
@@ -103,6 +103,17 @@ def test_repeated_rows_and_null_ids(spark):
     assert linededup.drop_lines(source.limit(0), 2).collect() == []
 
 
+@pytest.mark.parametrize("known_limit", [0, linededup.KNOWN_LINES])
+def test_string_ids_and_clashing_names(spark, known_limit):
+    rows = [(str(k), "a b c d", k, "x", 1.5, [k], "l") for k in range(3)] + [("odd", "a b c d", 7, "x", 1.5, [], "l"), ("2", "own words of it\na b c d", 8, "x", 1.5, [], "l")]
+    source = spark.createDataFrame(rows, "doc_id string, text string, n_lines int, N_DROPPED string, id double, row array<int>, line string")
+    out = linededup.drop_lines(source, 3, known_limit=known_limit)
+    assert out.columns == [*source.columns, "n_lines_", "n_dropped_"]
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == sorted([(*rows[0], 1, 0), *[(r[0], "", *r[2:], 1, 1) for r in rows[1:3]], (*rows[3], 1, 0), ("2", "own words of it", *rows[4][2:], 2, 1)])
+    assert linededup.clean(source, 3).columns == source.columns
+
+
 @pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
 def test_query(spark, scale):
     d = f"/root/testdata/{scale}"

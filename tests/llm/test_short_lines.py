@@ -8,7 +8,6 @@ import pytest
 
 from quern.llm import linededup, queries
 
-from .. import oracle
 from .samples import docs, prose
 from .test_linededup import brute, sample
 
@@ -16,7 +15,7 @@ from .test_linededup import brute, sample
 def whole(texts, min_docs):
     """What the brute force for long lines leaves, without short lines that recur."""
     owners = collections.defaultdict(set)
-    short = lambda line: tuple(w) if len(w := re.split("[ \t\r]+", line.strip(" \t\r"))) < linededup.MIN_TOKENS and w != [""] else None
+    short = lambda line: tuple(w) if len(w := re.split("[ \t\r]+", line.strip(" \t\r"))) < linededup.SHORT and w != [""] else None
     for i, t in enumerate(texts):
         for line in (t or "").split("\n"):
             owners[short(line)].add(i)
@@ -44,7 +43,7 @@ def short_sample(seed):
 @pytest.mark.parametrize("known_limit", [0, linededup.KNOWN_LINES])
 def test_equals_brute_force(spark, seed, min_docs, known_limit):
     texts = short_sample(seed)
-    got = linededup.drop_lines(docs(spark, texts), min_docs, min_tokens=1, known_limit=known_limit)
+    got = linededup.drop_lines(docs(spark, texts), min_docs, known_limit=known_limit)
     assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()} == whole(texts, min_docs)
 
 
@@ -55,7 +54,7 @@ def test_clean_drops_short_lines(spark):
     assert kept[0] == texts[0] and all(kept[k] == f"{texts[k].split(chr(10))[0]}\n\n{k}" for k in range(1, 12))
 
 
-def test_query_drops_more(spark):
-    folder = "/root/testdata/sf0.01"
-    got = oracle.same(queries.op5_whole_line_templates(spark, folder), queries.ORACLES["op5_whole_line_templates"], folder)
-    assert sum(r["n_dropped"] for r in got) > sum(r["n_dropped"] for r in queries.op5_line_templates(spark, folder).collect())
+def test_query_drops_short_lines(spark):
+    source = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    whole_, long_ = (linededup.drop_lines(source, min_tokens=n).groupBy().sum("n_dropped").first()[0] for n in (1, linededup.SHORT))
+    assert whole_ > long_ > 0
