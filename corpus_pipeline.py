@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontam, langid, linededup, minhash, packing, queries, store
 
-#: A document goes if its language can't be told (``und``), or if even the winner needs a phrase for every 1.6 letters.
-MOST_PHRASES = 0.6
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose language can't be told (``und``), or that are surely no text of even the likeliest one."""
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     found = langid.identify(docs, langid.train(docs.where(~held)))
-    return found.where((F.col("lang_pred") != "und") & (F.col("rate") <= MOST_PHRASES)).select(*docs.columns)
+    named, _, _, strange = map(store.column, found.columns[len(docs.columns) :])
+    return found.where((named != "und") & ~strange).select(*map(store.column, docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, once; rows without an id stay as they are."""
-    others = minhash.classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(others, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of each group of texts stays; rows without an id stay as they are."""
+    return minhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
+import random
+
 import corpus_pipeline
 from quern.llm import queries
 
-from .samples import docs
+from .samples import docs, prose
 from .test_decontam import brute as contaminated
 from .test_linededup import brute as lines
 from .test_minhash import brute as classes
@@ -50,3 +52,19 @@ def test_awkward_rows(spark, small):
     ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in d.collect())
     assert ids == [(False, 3), (True, 0)]
     assert corpus_pipeline.packing_stage(spark, d, small).count() == 2
+
+
+def test_clashing_names_and_repeated_ids(spark, small):
+    """Users' columns come back unchanged; texts that only share an id all stay; short clean texts stay."""
+    more = "score double, rate double, lang_pred string, strange boolean, n_lines int, n_dropped int, _gone int, shard string, _id int, row string, variant int, node int, class int, key string, spans string, `a.b` int"
+    values = (0.25, 0.5, "zz", True, 7, 7, 1, "s", 5, "r", 3, 4, 9, "k", "sp", 2)
+    texts = [(7, "The and of is thanwh."), (7, "Shing edor was the one."), (8, "A."), (9, "I"), (10, "Yes"), (11, "OK.")]
+    texts += [(20 + k, prose(random.Random(k), 40) + " The quick brown fox jumps over my lazy dog, says Zoe." + str(k)) for k in range(9)]
+    source = spark.createDataFrame([(i, t, "en", "s", 1, *values) for i, t in texts], f"doc_id long, text string, lang string, source string, n_chars long, {more}")
+    d = source
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, small)
+        assert d.columns == source.columns
+        d = d.cache()
+    assert sorted(tuple(r) for r in d.collect()) == sorted(tuple(r) for r in source.collect())
+    assert corpus_pipeline.packing_stage(spark, d, small).count() == len(texts)
