@@ -19,8 +19,8 @@ all its buckets: of a group of edited copies that is the one with the fewest
 edits, as a rule, and it links most of the others. Links make classes
 (connected components, found by minima that run along links; nothing is
 collected). Where a bucket still holds several classes, its members' sketches
-(``COORDINATES`` coordinates, a byte of each dart) are compared across classes,
-block by block, and pairs whose sketches agree often enough, and that are about
+(``COORDINATES`` coordinates, two bits and then a byte of each dart) are compared
+across classes, block by block, and pairs whose sketches agree often enough, and that are about
 as far as each other from each head they share (Jaccard distance is a metric),
 are compared in full: first the likeliest few of each node, then, in new
 classes, all, each pair in the first band that it shares. So a large group of
@@ -61,6 +61,10 @@ BANDS, ROWS = 25, 5
 COORDINATES, AGREEING = 384, 0.714
 #: Rows of a block of sketches, and pairs of a document in the first round.
 BLOCK_ROWS, FIRST_PAIRS = 1024, 4
+#: Two bits of each dart are compared first. Fewer agree once in 70,000 pairs of similarity 0.8 (where 0.85 of them do).
+AGREEING_BITS = 0.774
+#: Rows of candidates (three numbers each) that may be broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 #: The lowest strip of ranks ends at 2**BASE; each further one doubles that.
 BASE = -6
 
@@ -148,7 +152,7 @@ def described(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
     """doc_id, variant, key (128 bits of all words; null without words), n (shingles), bands (a hash each), sketch."""
     schema = "doc_id long, variant long, key binary, n long, bands array<long>, sketch binary"
     arrow = pa.schema([("doc_id", pa.int64()), ("variant", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
-    width = max(COORDINATES, bands * rows)
+    width = -(-max(COORDINATES, bands * rows) // 32) * 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +244,7 @@ def unsettled(members: DataFrame, label: DataFrame, heads: DataFrame, near: Data
     return rest.join(heads.select("node", "n", "bands", "sketch"), "node").join(near, "node")
 
 
-def likely(rest: DataFrame, threshold: float, agreeing: float, first: int | None) -> DataFrame:
+def likely(rest: DataFrame, threshold: float, agreeing: float, agreeing_bits: float, first: int | None) -> DataFrame:
     """a, b: pairs across classes whose sizes and sketches let a link be.
 
     A bucket is cut into blocks by a hash; each two blocks are one task's work.
@@ -267,7 +271,8 @@ def likely(rest: DataFrame, threshold: float, agreeing: float, first: int | None
         near = np.full(bands.shape, np.nan, np.float32)
         near[np.repeat(np.arange(len(doc)), sizes), listed.field("band").to_numpy()] = listed.field("s").to_numpy()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        columns = np.ascontiguousarray(sketch[right].T)
+        few = two_bits(sketch)
+        far = int((1 - agreeing_bits) * sketch.shape[1])
         found = []
         for k in range(0, len(left), 128):
             x = left[k : k + 128]
@@ -276,19 +281,19 @@ def likely(rest: DataFrame, threshold: float, agreeing: float, first: int | None
                 ok &= doc[x][:, None] < doc[right][None, :]
             if not ok.any():
                 continue
-            same = np.zeros(ok.shape, np.int16)
-            for c in range(sketch.shape[1]):
-                same += sketch[x, c][:, None] == columns[c][None, :]
-            ok &= same >= agreeing * sketch.shape[1]
+            ok &= unlike(few[:, x], few[:, right]) <= far
             p, q = np.nonzero(ok)
+            same = np.concatenate([(sketch[x[p[k : k + 4096]]] == sketch[right[q[k : k + 4096]]]).sum(1) for k in range(0, len(p), 4096)] or [np.empty(0, np.int64)])
+            fits = same >= agreeing * sketch.shape[1]
+            p, q, same = p[fits], q[fits], same[fits]
             # Both were compared with the head of each bucket they share: a link's ends are about as far from it.
             apart = np.abs(near[x[p]] - near[right[q]]) > 1 - threshold + 1e-6
             fits = ~(apart & (bands[x[p]] == bands[right[q]])).any(1)
-            p, q = p[fits], q[fits]
+            p, q, same = p[fits], q[fits], same[fits]
             if first is None:  # a pair is compared in the first band that it shares
                 seen = (bands[x[p], :band] == bands[right[q], :band]).any(1)
-                p, q = p[~seen], q[~seen]
-            found.append((x[p], right[q], same[p, q]))
+                p, q, same = p[~seen], q[~seen], same[~seen]
+            found.append((x[p], right[q], same))
         a, b, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
         if first is not None and len(a):
             asks, keep = table.column("asks").to_numpy(), np.zeros(len(a), bool)
@@ -300,7 +305,27 @@ def likely(rest: DataFrame, threshold: float, agreeing: float, first: int | None
             a, b = a[keep], b[keep]
         return pa.table({"a": pa.array(np.minimum(doc[a], doc[b]), pa.int64()), "b": pa.array(np.maximum(doc[a], doc[b]), pa.int64())})
 
-    return dealt.groupBy("band", "v", "i", "j").applyInArrow(run, "a long, b long")
+    # Blocks are small and their work is not: more tasks than Spark would take for so few bytes.
+    rows_dealt = rest.agg(F.sum(blocks)).first()[0] or 0
+    tasks = max(store.shuffle_partitions(rest.sparkSession), rows_dealt // (4 * BLOCK_ROWS))
+    return dealt.repartition(int(tasks), "band", "v", "i", "j").groupBy("band", "v", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def two_bits(sketch: np.ndarray) -> np.ndarray:
+    """The low two bits of each dart, 32 darts a word: darts x rows."""
+    bits = (sketch & 3).astype(U).reshape(len(sketch), -1, 32)
+    return np.ascontiguousarray(np.bitwise_or.reduce(bits << (U(2) * np.arange(32, dtype=U)), axis=2).T)
+
+
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many darts differ in two bits, for each column of ``a`` with each of ``b``."""
+    out = np.zeros((a.shape[1], b.shape[1]), np.uint16)
+    for x, y in zip(a, b, strict=True):
+        apart = x[:, None] ^ y[None, :]
+        apart |= apart >> U(1)
+        apart &= U(0x5555555555555555)
+        out += np.bitwise_count(apart)
+    return out
 
 
 def linked(docs: DataFrame, threshold: float, size: int, bands: int, rows: int, first_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -315,6 +340,8 @@ def linked(docs: DataFrame, threshold: float, size: int, bands: int, rows: int,
     chosen = entries.groupBy("band", "v").agg(F.max(F.struct("w", (-F.col("node")).alias("node"))).alias("r")).select("band", "v", (-F.col("r.node")).alias("head"))
     members = store.saved(entries.select("band", "v", "node").join(chosen, ["band", "v"]), "minhash-members")
     wanted = heads.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "variant", "node")
+    wanted = store.saved(wanted, "minhash-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = store.saved(docs.join(wanted, ["doc_id", "variant"]).select("node", "text").dropDuplicates(["node"]), "minhash-candidates")
     star = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     done = store.saved(compared(star, texts, size), "minhash-star")
@@ -326,7 +353,7 @@ def linked(docs: DataFrame, threshold: float, size: int, bands: int, rows: int,
     seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()  # pairs stand with the smaller first
     for at_most in (first_pairs, None):
         rest = unsettled(members, label, heads, near)
-        more = store.saved(likely(rest, threshold, least, at_most).distinct().join(seen, ["a", "b"], "left_anti"), "minhash-likely")
+        more = store.saved(likely(rest, threshold, least, AGREEING_BITS + 0.75 * (threshold - THRESHOLD), at_most).distinct().join(seen, ["a", "b"], "left_anti"), "minhash-likely")
         seen = seen.union(more)
         new = store.saved(compared(more, texts, size).where(F.col("s") >= threshold).select("a", "b"), "minhash-links")
         if new.limit(1).count():
