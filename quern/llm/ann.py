@@ -6,18 +6,22 @@ new vector's neighbours, and pruning keeps of them, nearest first, those that no
 kept neighbour is nearer to by the factor ``ALPHA``; edges back are pruned in
 the same way. A query is answered by beam search in every shard, and the
 shards' nearest are merged. All rows are indexed; the index is a table in the
-shared folder, a row for each shard. Queries are broadcast in blocks of
-``QUERY_BLOCK``, so what is broadcast doesn't grow with their number.
+shared folder, a row for each shard. Queries are a table of blocks of about
+``QUERY_BLOCK``; blocks and shards meet in one job, by shard, so nothing passes
+through the driver or is broadcast.
 
-Equal vectors are one node, which carries the ``k + 1`` smallest of their ids:
-ties go to the smaller id, so no other can be among k nearest. Scores are
-computed on the original vectors in double precision.
+Graphs are searched in single precision, on vectors that are scaled by their
+shard's largest component, so that any finite double can take part. Equal
+vectors are one node, which carries the ``k + 1`` smallest of their ids: ties go
+to the smaller id, so no other can be among k nearest. Scores are computed, and
+the nearest chosen, on the original vectors in double precision.
 
 Defined results: a vector that is null, zero or holds a null or non-finite
 component takes no part, neither as query nor as candidate; vectors of other
-dimensions aren't candidates of a query; repeated rows are one candidate; a
-query is not its own candidate, by id; with fewer candidates than k all are
-returned; an empty table gives no rows; other columns are ignored.
+dimensions aren't candidates of a query; repeated rows are one candidate; an id
+with several vectors is as near as the nearest of them, as a query too; a query
+is not its own candidate, by id; with fewer candidates than k all are returned;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -163,14 +167,36 @@ def reachable(graph: Graph) -> np.ndarray:
     return seen
 
 
-INDEX = "dim int, shard long, n int, start int, vectors binary, edges binary, unreached binary, ids array<array<long>>"
-_INDEX = pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("n", pa.int32()), ("start", pa.int32()), ("vectors", pa.binary()), ("edges", pa.binary()), ("unreached", pa.binary()), ("ids", pa.list_(pa.list_(pa.int64())))])
+def unscaled(vectors: np.ndarray, scale: float) -> np.ndarray:
+    """In single precision, for a search; beyond its range a query is only far away."""
+    return np.clip(vectors / scale, -1e15, 1e15).astype(np.float32)
+
+
+def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows, in double precision; where squares overflow or vanish, by the largest difference."""
+    with np.errstate(over="ignore", under="ignore"):
+        diff = a - b
+        out = np.sqrt((diff * diff).sum(1))
+        odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-150))
+        if len(odd):
+            most = np.abs(diff[odd]).max(1)
+            part = diff[odd] / np.where(most > 0, most, 1)[:, None]
+            out[odd] = most * np.sqrt((part * part).sum(1))
+    return out
+
+
+INDEX = "dim int, shard long, n int, start int, scale double, vectors binary, edges binary, unreached binary, ids array<array<long>>"
+_INDEX = pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("n", pa.int32()), ("start", pa.int32()), ("scale", pa.float64()), ("vectors", pa.binary()), ("edges", pa.binary()), ("unreached", pa.binary()), ("ids", pa.list_(pa.list_(pa.int64())))])
+BLOCKS = "dim int, block long, asked binary, asked_ids array<long>"
+_BLOCKS = pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("asked", pa.binary()), ("asked_ids", pa.list_(pa.int64()))])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(fine, F.lit(False)))
+    # 0.0 and -0.0 are one component, of one vector.
+    same = F.transform("vector", lambda x: x + F.lit(0.0))
+    return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(fine, F.lit(False))).select("id", same.alias("vector"))
 
 
 def index(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -184,72 +210,78 @@ def index(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str =
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         dim = table.column("dim")[0].as_py()
         points = flat.reshape(-1, dim)
-        graph = build(points)
+        scale = float(np.abs(points).max())
+        graph = build(unscaled(points, scale))
         lost = np.flatnonzero(~reachable(graph)).astype("<i4")  # looked at one by one
-        row = [[dim], [table.column("shard")[0].as_py()], [len(points)], [graph.start], [points.astype("<f4").tobytes()], [graph.edges.astype("<i4").tobytes()], [lost.tobytes()], [table.column("ids").to_pylist()]]
+        row = [[dim], [table.column("shard")[0].as_py()], [len(points)], [graph.start], [scale], [points.astype("<f8").tobytes()], [graph.edges.astype("<i4").tobytes()], [lost.tobytes()], [table.column("ids").to_pylist()]]
         return pa.table([pa.array(v, f.type) for v, f in zip(row, _INDEX, strict=True)], schema=_INDEX)
 
     return store.saved(dealt.groupBy("dim", "shard").applyInArrow(run, INDEX), "ann-index")
 
 
-def nearest(shards: DataFrame, block: dict[int, tuple[np.ndarray, np.ndarray]], k: int, beam: int = BEAM) -> DataFrame:
-    """query_id, vec_id, score: the k nearest that each shard has for each query of a block (ids and vectors, by dimension)."""
-    shared = shards.sparkSession.sparkContext.broadcast(block)
+def blocks(queries: DataFrame, id_col: str, vector_col: str, query_block: int) -> DataFrame:
+    """A row for each block of queries."""
+    rows = store.saved(usable(queries, id_col, vector_col).distinct(), "ann-queries")
+    count = -(-rows.count() // query_block) or 1
+    dealt = rows.withColumn("dim", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(count)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                dim, _, n, start, raw, edges, lost = (batch.column(c)[row] for c in range(7))
-                if dim.as_py() not in shared.value:
-                    continue
-                ids, asked = shared.value[dim.as_py()]
-                points = np.frombuffer(raw.as_buffer(), "<f4").reshape(n.as_py(), -1)
-                graph = Graph(points, np.frombuffer(edges.as_buffer(), "<i4").reshape(n.as_py(), -1).astype(np.int64), start.as_py())
-                owned = batch.column(7)[row].values
-                begin, owned = owned.offsets.to_numpy().astype(np.int64), owned.values.to_numpy()
-                extra = np.frombuffer(lost.as_buffer(), "<i4").astype(np.int64)
-                for i in range(0, len(ids), 256):
-                    found, _ = search(graph, asked[i : i + 256].astype(np.float32), max(beam, k + 1))
-                    found = np.concatenate([found, np.broadcast_to(extra, (len(found), len(extra)))], 1)
-                    q, c = np.nonzero(found >= 0)
-                    node = found[q, c]
-                    diff = asked[i + q].astype(np.float64) - points[node].astype(np.float64)
-                    score = np.sqrt((diff * diff).sum(1))
-                    counts = begin[node + 1] - begin[node]
-                    who = np.repeat(np.arange(len(node)), counts)
-                    vec = owned[np.repeat(begin[node] - (np.cumsum(counts) - counts), counts) + np.arange(len(who))]
-                    q, score = q[who], score[who]
-                    other = vec != ids[i + q]
-                    q, score, vec = q[other], score[other], vec[other]
-                    order = np.lexsort((vec, score, q))
-                    q, score, vec = q[order], score[order], vec[order]
-                    rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
-                    top = rank < k
-                    yield pa.record_batch([pa.array(ids[i + q[top]]), pa.array(vec[top]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
-
-    return shards.mapInArrow(run, "query_id long, vec_id long, score double")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        row = [[table.column(c)[0].as_py()] for c in ("dim", "block")] + [[flat.astype("<f8").tobytes()], [table.column("id").to_pylist()]]
+        return pa.table([pa.array(v, f.type) for v, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+    return store.saved(dealt.groupBy("dim", "block").applyInArrow(run, BLOCKS), "ann-blocks")
+
+
+def answers(dim: int, start: int, scale: float, points: np.ndarray, edges: np.ndarray, lost: np.ndarray, owned: pa.ListScalar, ids: np.ndarray, asked: np.ndarray, k: int, beam: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest that one shard has for each query of one block."""
+    graph = Graph(unscaled(points, scale), edges, start)
+    begin, owned = owned.values.offsets.to_numpy().astype(np.int64), owned.values.values.to_numpy()
+    for i in range(0, len(ids), 256):
+        found, _ = search(graph, unscaled(asked[i : i + 256], scale), max(beam, k + 1))
+        found = np.concatenate([found, np.broadcast_to(lost, (len(found), len(lost)))], 1)
+        q, c = np.nonzero(found >= 0)
+        node = found[q, c]
+        score = euclidean(asked[i + q], points[node])
+        counts = begin[node + 1] - begin[node]
+        who = np.repeat(np.arange(len(node)), counts)
+        vec = owned[np.repeat(begin[node] - (np.cumsum(counts) - counts), counts) + np.arange(len(who))]
+        q, score = q[who], score[who]
+        other = vec != ids[i + q]
+        q, score, vec = q[other], score[other], vec[other]
+        order = np.lexsort((vec, score, q))
+        q, score, vec = q[order], score[order], vec[order]
+        # An id that stands in several places of a query counts at its nearest.
+        again = np.lexsort((np.arange(len(q)), vec, q))
+        first = np.ones(len(q), bool)
+        first[again[1:]] = (q[again[1:]] != q[again[:-1]]) | (vec[again[1:]] != vec[again[:-1]])
+        q, score, vec = q[first], score[first], vec[first]
+        top = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+        yield pa.record_batch([pa.array(ids[i + q[top]]), pa.array(vec[top]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, beam: int = BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query, ties to the smaller id."""
-    spark = vectors.sparkSession
     shards = index(vectors, k, id_col, vector_col, shard_rows)
-    path, block, filled = store.new_path(spark, "ann-found"), {}, 0
-
-    def answer() -> None:
-        ready = {dim: (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float32)) for dim, own in block.items()}
-        nearest(shards, ready, k, beam).write.mode("append").parquet(path)
-
-    for row in usable(queries, id_col, vector_col).distinct().toLocalIterator(prefetchPartitions=False):
-        block.setdefault(len(row["vector"]), []).append((row["id"], row["vector"]))
-        filled += 1
-        if filled == query_block:
-            answer()
-            block, filled = {}, 0
-    answer()
-    found = spark.read.schema("query_id long, vec_id long, score double").parquet(path)
+    asked = blocks(queries, id_col, vector_col, query_block)
+    # Each block goes to each shard of its dimension: an equal join on the shard, spread by shard and block.
+    met = asked.join(shards.select("dim", "shard"), "dim").repartition(store.shuffle_partitions(vectors.sparkSession), "dim", "shard", "block").join(shards, ["dim", "shard"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+            for row in range(len(batch)):
+                dim, start, scale = (get[c][row].as_py() for c in ("dim", "start", "scale"))
+                points, own = (np.frombuffer(get[c][row].as_buffer(), "<f8").reshape(-1, dim) for c in ("vectors", "asked"))
+                edges = np.frombuffer(get["edges"][row].as_buffer(), "<i4").reshape(len(points), -1).astype(np.int64)
+                lost = np.frombuffer(get["unreached"][row].as_buffer(), "<i4").astype(np.int64)
+                yield from answers(dim, start, scale, points, edges, lost, get["ids"][row], get["asked_ids"][row].values.to_numpy(), own, k, beam)
+
+    found = store.saved(met.select("dim", "start", "scale", "vectors", "edges", "unreached", "ids", "asked", "asked_ids").mapInArrow(run, "query_id long, vec_id long, score double"), "ann-found")
+    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

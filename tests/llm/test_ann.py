@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -56,6 +58,31 @@ def test_hot_vector_and_odd_rows(spark):
     assert others == {(65, 66), (66, 65)}
 
 
+def test_doubles(spark):
+    """Vectors that single precision can't tell, or can't hold, are scored exactly; an id with several vectors counts at its nearest."""
+    rng = np.random.default_rng(4)
+    v = [x.tolist() for x in rng.normal(size=(40, 3))]
+    v[1] = [x + 1e-9 for x in v[0]]
+    v += [[1e39, 1e39, 0.0], [1e39, 2e39, 0.0], [1e300, 1.0, 0.0], [1e-200, 0.0, 0.0], [3e-200, 0.0, 0.0], [0.0, -0.0, 0.0]]
+    rows = [(i, x) for i, x in enumerate(v)] + [(7, v[3]), (7, v[7]), (45, [0.0, 0.0, 0.0])]
+    source = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.knn(source, source, shard_rows=30, query_block=10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    live = [(i, x) for i, x in rows if any(x)]
+    for i in {i for i, _ in live}:
+        best = {}
+        for a, x in live:
+            for b, y in live:
+                if a == i and b != i:
+                    best[b] = min(best.get(b, np.inf), math.dist(x, y))
+        want = sorted((d, b) for b, d in best.items())[:10]
+        own = sorted(got[i])
+        assert [r for r, _, _ in own] == list(range(1, 11))
+        assert [s for _, _, s in own] == pytest.approx([d for d, _ in want], rel=1e-12)
+        assert [b for _, b, _ in own] == [b for _, b in want] or len(set(d for d, _ in want)) < 10
+
+
 def test_few_and_none(spark):
     source = frame(spark, [5, 9, 10], [[1, 0], [0, 1], [2, 0]])
     assert [tuple(r)[:3] for r in ann.knn(source, source.where("vec_id = 5")).orderBy("rank").collect()] == [(5, 1, 10), (5, 2, 9)]
