@@ -3,23 +3,32 @@
 Items are cut into windows of ``size`` words (an item of fewer words is one
 window). Containment of a window in a document is asked in full, so the
 necessary prefix of a window in rarity order is its one rarest word: a document
-without it can't hold the window. Rarity is counted over all documents. A
-document word equal to a window's rarest word proposes one start (positional
-bound), the window has to end inside the document (length bound), and the
-words at that place are then compared one by one, by 128 bits of hash each.
+without it can't hold the window. Rarity is counted over all documents, in one
+pass and in ``CELLS`` cells of a word's hash, so that it takes a fixed size
+whatever the benchmark (words of one cell share a count; that only moves the
+choice of the prefix). A document word equal to a window's rarest word proposes
+one start for each place that the word has in windows (positional bound), the
+window has to end inside the document (length bound), and its words, folded to
+one hash, have to be a window's; then the words at that place are compared one
+by one, by 128 bits of hash each. So a word proposes at most ``size`` starts a
+window length, in however many windows it is the rarest.
 
 The index of the items is broadcast. It is built in blocks of at most
 ``BLOCK_WORDS`` item words, so its size is bounded however large the benchmark
-is; each block is one more map over the documents, with no shuffle.
+is; an item beyond that is cut into parts that overlap by a window. One block
+is one map over the documents, with no shuffle. With several, each yields the
+rows it hits only, and these few are joined to the documents in the end.
 
 Defined results: a null text has no words and is never hit; a null item id is
 no item; several rows of one item id are one item; repeated documents each get
-their row; an empty benchmark hits nothing; columns other than the id and the
-text are ignored. Texts of any length are read whole.
+their row; rows of one id are judged by their own texts; an empty benchmark hits
+nothing; columns other than the id and the text are ignored. Texts of any
+length are read whole.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,20 +40,23 @@ from pyspark.sql import types as T
 
 from . import store, textscan
 
-#: Words of items in one broadcast index: some 100 bytes each.
+#: Words of items in one broadcast index: some 200 bytes each.
 BLOCK_WORDS = 1 << 20
+#: Cells of the count of words, and document words whose proposed starts are looked at together.
+CELLS, SLICE = 1 << 20, 1 << 18
 
 
 @dataclass
 class Index:
-    """Windows of one block of items. ``rare`` is sorted; its entry i proposes the windows of ``begin[i]:begin[i + 1]``."""
+    """Windows of one block of items. ``rare`` is sorted; its entry i has the places (offset, length) of ``begin[i]:begin[i + 1]``; ``key`` is sorted, and goes with the rows of ``words``."""
 
     rare: np.ndarray
     begin: np.ndarray
-    window: np.ndarray
     offset: np.ndarray
     length: np.ndarray
+    key: np.ndarray
     words: np.ndarray  # windows x size x 2 hashes
+    size: np.ndarray  # words of each window
     item_begin: np.ndarray
     item: np.ndarray
     items: list[str]
@@ -66,42 +78,58 @@ def member(hashes: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[n
     return at[good], slot[good]
 
 
-def scan(texts: pa.Array) -> textscan.Words:
-    return textscan.scan(texts, textscan.ALNUM, lower=True)
+def cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64) % CELLS
+
 
+def folded(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """One hash of the ``length`` words from each start."""
+    out = length.astype(np.uint64)
+    for k in range(int(length.max(initial=0))):
+        more = np.flatnonzero(length > k)
+        out[more] = textscan.mix(out[more] * np.uint64(0x9E3779B97F4A7C15) + h[start[more] + k])
+    return out
 
-def vocabulary(texts: list[str]) -> np.ndarray:
-    return np.unique(scan(pa.array(texts, pa.string())).hashes())
 
+def scan(texts: pa.Array) -> textscan.Words:
+    return textscan.scan(texts, textscan.ALNUM, lower=True)
 
-def build(items: list[tuple[str, str]], counts: dict[int, int], size: int) -> Index:
-    """``counts``: documents' words by hash, for rarity."""
+
+def build(items: list[tuple[str, str]], counts: np.ndarray, size: int) -> Index:
+    """``counts``: documents' words by cell, for rarity."""
     words = scan(pa.array([t for _, t in items], pa.string()))
     h = np.stack([words.hashes(1), words.hashes(2)], 1) if len(words) else np.empty((0, 2), np.uint64)
     names = sorted({name for name, _ in items})
     rank = {name: i for i, name in enumerate(names)}
-    found: dict[bytes, int] = {}
-    rows, lengths, owners = [], [], []
-    for k, (name, _) in enumerate(items):
-        lo, hi = int(words.first[k]), int(words.first[k + 1])
-        n = min(size, hi - lo)
-        for i in range(lo, hi - n + 1) if n else ():
-            w = found.setdefault(h[i : i + n].tobytes(), len(rows))
-            if w == len(rows):
-                rows.append(i)
-                lengths.append(n)
-                owners.append(set())
-            owners[w].add(rank[name])
-    table, rare, offset = np.zeros((len(rows), size, 2), np.uint64), [], []
-    for w, (i, n) in enumerate(zip(rows, lengths, strict=True)):
-        table[w, :n] = h[i : i + n]
-        offset.append(min(range(n), key=lambda j: (counts.get(int(h[i + j, 0]), 0), j)))
-        rare.append(h[i + offset[-1], 0])
-    rare = np.array(rare, np.uint64)
-    order = np.argsort(rare, kind="stable")
-    values, begin = np.unique(rare[order], return_index=True)
-    item_begin = np.cumsum([0, *map(len, owners)])
-    return Index(values, np.append(begin, len(order)), order, np.array(offset, np.int64), np.array(lengths, np.int64), table, item_begin, np.array([x for o in owners for x in sorted(o)], np.int64), names, sieve(values))
+    sizes = np.diff(words.first)
+    n = np.minimum(size, sizes)
+    item, k = expand(np.where(sizes > 0, sizes - n + 1, 0))
+    start, length = words.first[item] + k, n[item]
+    table = np.zeros((len(start), size, 2), np.uint64)
+    for j in range(size):
+        more = length > j
+        table[more, j] = h[start[more] + j]
+    owner = np.array([rank[name] for name, _ in items], np.int64)[item]
+    # Each distinct window once, with its items.
+    flat = np.concatenate([table.reshape(len(start), 2 * size), length[:, None].astype(np.uint64)], 1)
+    _, first, which = np.unique(flat, axis=0, return_index=True, return_inverse=True) if len(start) else (None, np.empty(0, np.int64), np.empty(0, np.int64))
+    pairs = np.unique(np.stack([which.ravel(), owner], 1), axis=0)
+    table, start, length = table[first], start[first], length[first]
+    key = folded(h[:, 0], start, length)
+    order = np.argsort(key, kind="stable")
+    begin = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+    own = [pairs[begin[w] : begin[w + 1], 1] for w in order]
+    item_begin = np.cumsum([0, *map(len, own)])
+    # The prefix: the place of the rarest word, the first of equally rare ones.
+    frequency = np.where(np.arange(size) < length[:, None], counts[cell(table[:, :, 0])], np.iinfo(np.int64).max)
+    offset = frequency.argmin(1) if len(first) else np.empty(0, np.int64)
+    rare = table[np.arange(len(first)), offset, 0]
+    by = np.lexsort((length, offset, rare))
+    rare, offset, span = rare[by], offset[by], length[by]
+    new = np.ones(len(rare), bool)
+    new[1:] = (rare[1:] != rare[:-1]) | (offset[1:] != offset[:-1]) | (span[1:] != span[:-1])
+    values, at = np.unique(rare[new], return_index=True)
+    return Index(values, np.append(at, new.sum()), offset[new], span[new], key[order], table[order], length[order], item_begin, np.concatenate([np.empty(0, np.int64), *own]), names, sieve(values))
 
 
 def expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,19 +141,30 @@ def expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def occurrences(words: textscan.Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word and window of each occurrence."""
     h1 = words.hashes(1)
-    at, slot = member(h1, index.sieve, index.rare)
-    who, k = expand(index.begin[slot + 1] - index.begin[slot])
-    window = index.window[index.begin[slot[who]] + k]
-    start = at[who] - index.offset[window]
-    text = np.searchsorted(words.first, at[who], "right") - 1
-    ok = (start >= words.first[text]) & (start + index.length[window] <= words.first[text + 1])
-    start, window, text = start[ok], window[ok], text[ok]
-    for seed, part in ((1, 0), (2, 1)):
-        h = h1 if seed == 1 else words.hashes(2) if len(start) else h1
-        for j in range(index.words.shape[1]):
-            ok = (j >= index.length[window]) | (h[np.minimum(start + j, len(h) - 1)] == index.words[window, j, part])
-            start, window, text = start[ok], window[ok], text[ok]
-    return text, start, window
+    every, slots = member(h1, index.sieve, index.rare)
+    found, h2 = [], None
+    for i in range(0, len(every), SLICE):
+        at, slot = every[i : i + SLICE], slots[i : i + SLICE]
+        who, k = expand(index.begin[slot + 1] - index.begin[slot])
+        place = index.begin[slot[who]] + k
+        start, length = at[who] - index.offset[place], index.length[place]
+        text = np.searchsorted(words.first, at[who], "right") - 1
+        ok = (start >= words.first[text]) & (start + length <= words.first[text + 1])
+        start, length, text = start[ok], length[ok], text[ok]
+        key = folded(h1, start, length)
+        lo, hi = np.searchsorted(index.key, key, "left"), np.searchsorted(index.key, key, "right")
+        who, k = expand(hi - lo)
+        window, start, length, text = lo[who] + k, start[who], length[who], text[who]
+        ok = index.size[window] == length
+        window, start, length, text = window[ok], start[ok], length[ok], text[ok]
+        if len(start) and h2 is None:
+            h2 = words.hashes(2)
+        for h, part in ((h1, 0), (h2, 1)):
+            for j in range(index.words.shape[1] if len(start) else 0):
+                ok = (j >= length) | (h[np.minimum(start + j, len(h) - 1)] == index.words[window, j, part])
+                window, start, length, text = window[ok], start[ok], length[ok], text[ok]
+        found.append((text, start, window))
+    return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -133,93 +172,122 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def counted(docs: DataFrame, vocabularies: list[np.ndarray]) -> dict[int, int]:
-    """How often each word of the vocabulary stands in all documents."""
-    values = np.unique(np.concatenate(vocabularies)) if vocabularies else np.empty(0, np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast((values, sieve(values)))
+def counted(docs: DataFrame) -> np.ndarray:
+    """How often the words of each cell stand in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = shared.value
-        total = np.zeros(len(own), np.int64)
+        total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for i, j in textscan.pieces(batch.column(0)):
-                _, slot = member(scan(batch.column(0).slice(i, j - i)).hashes(1), table, own)
-                total += np.bincount(slot, minlength=len(own))
+                total += np.bincount(cell(scan(batch.column(0).slice(i, j - i)).hashes(1)), minlength=CELLS)
         at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(own[at].view(np.int64)), pa.array(total[at])], names=["word", "n"])
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS
+    out = np.zeros(CELLS, np.int64)
+    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
-    rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
-    return {r["word"] & (1 << 64) - 1: r["n"] for r in rows}
 
+def parts(text: str, size: int, most: int) -> Iterator[tuple[str, int]]:
+    """An item's text and its number of words; one of more than ``most`` words in parts that share no window and lose none."""
+    words = scan(pa.array([text], pa.string()))
+    n, step = len(words), max(most, size)
+    if n <= step:
+        yield text, n
+        return
+    for i in range(0, n - size + 1, step - size + 1):
+        j = min(i + step, n)
+        yield words.data[words.starts[i] : words.ends[j - 1]].tobytes().decode(), j - i
 
-OUT = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),
-    T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("items", T.ArrayType(T.StringType())),
-])
+
+def cut(benchmark: DataFrame, item_col: str, item_text_col: str, size: int, most: int) -> Iterator[list[tuple[str, str]]]:
+    """Blocks of items, or of their parts, of at most ``most`` words (at least one part), in order of ids; one empty block if there is none."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    block, filled, any_ = [], 0, False
+    for row in items.orderBy("i", "t").toLocalIterator():
+        for text, n in parts(row["t"], size, most):
+            if block and filled + n > most:
+                yield block
+                block, filled, any_ = [], 0, True
+            block.append((row["i"], text))
+            filled += n
+    if block or not any_:
+        yield block
+
+
+FOUND = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("items", T.ArrayType(T.StringType()))]
+_SPANS, _ITEMS = pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())
+
+
+def matched(docs: DataFrame, index: Index, keep: list[str], every: bool) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with n_words, spans and items; ``every`` row, or those hit."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    schema = T.StructType([*[docs.schema[c] for c in keep], *FOUND])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for i, j in textscan.pieces(texts):
+                words = scan(texts.slice(i, j - i))
+                text, start, window = occurrences(words, index)
+                if not every and not len(text):
+                    continue
+                edges = np.zeros(len(words) + 1, np.int64)
+                np.add.at(edges, start, 1)
+                np.add.at(edges, start + index.size[window], -1)
+                hit = np.cumsum(edges[:-1]) > 0
+                named: list[set] = [set() for _ in range(j - i)]
+                seen = np.unique(np.stack([text, window], 1), axis=0)
+                for t, w in seen.tolist():
+                    named[t].update(index.items[x] for x in index.item[index.item_begin[w] : index.item_begin[w + 1]].tolist())
+                spans: list[list] = [[] for _ in range(j - i)]
+                for t in np.unique(text).tolist():
+                    spans[t] = [[a, b] for a, b in runs(hit[words.first[t] : words.first[t + 1]])]
+                columns = [batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in keep]
+                out = pa.record_batch([*columns, pa.array(np.diff(words.first)), pa.array(spans, _SPANS), pa.array([sorted(x) for x in named], _ITEMS)], names=schema.names)
+                yield out if every else out.filter(pa.array([bool(x) for x in spans]))
+
+    return docs.mapInArrow(run, schema)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, keep_row: bool = False) -> DataFrame:
     """A row for each document: doc_id, n_words, the hit words as spans [first, end) and the item ids that occur, in order of their strings; with ``keep_row`` also the whole document as the struct ``row``."""
-    spark = docs.sparkSession
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row)
-    schema = T.StructType([*OUT.fields, *[f for f in docs.schema.fields if f.name == "row"]])
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    blocks: list[list[tuple[str, str]]] = [[]]
-    filled = 0
-    out = None
-    arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
-
-    def one(source: DataFrame, block: list[tuple[str, str]], last: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast(build(block, counted(docs, [vocabulary([t for _, t in block])]), size))
-        later = "items" in source.columns
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                for i, j in textscan.pieces(batch.column("text")):
-                    part = batch.slice(i, j - i)
-                    words = scan(part.column("text"))
-                    text, start, window = occurrences(words, index)
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edges, start, 1)
-                    np.add.at(edges, start + index.length[window], -1)
-                    hit = np.cumsum(edges[:-1]) > 0
-                    who, k = expand(index.item_begin[window + 1] - index.item_begin[window])
-                    pairs = np.unique(np.stack([text[who], index.item[index.item_begin[window[who]] + k]], 1), axis=0) if len(who) else np.empty((0, 2), np.int64)
-                    spans, named = [[] for _ in range(j - i)], [[] for _ in range(j - i)]
-                    for t in np.unique(text).tolist():
-                        spans[t] = [[a, b] for a, b in runs(hit[words.first[t] : words.first[t + 1]])]
-                    for t, x in pairs.tolist():
-                        named[t].append(index.items[x])
-                    if later:
-                        for t, (old, also) in enumerate(zip(part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True)):
-                            if old:
-                                flags = np.zeros(int(words.first[t + 1] - words.first[t]), bool)
-                                for a, b in [*old, *spans[t]]:
-                                    flags[a:b] = True
-                                spans[t] = [[a, b] for a, b in runs(flags)]
-                            named[t] = sorted({*named[t], *also})
-                    kept = pa.nulls(j - i, pa.string()) if last else part.column("text")
-                    columns = [part.column("doc_id"), kept, pa.array(np.diff(words.first)), pa.array(spans, arrow.field("spans").type), pa.array(named, arrow.field("items").type)]
-                    yield pa.record_batch([*columns, *([part.column("row")] if keep_row else [])], names=schema.names)
-
-        return source.mapInArrow(run, schema)
-
-    def closed(last: bool) -> None:
-        nonlocal out
-        out = one(docs if out is None else store.saved(out, "decontam"), blocks[0], last)
-
-    # Blocks are cut between items in order of their ids; rows of one item stay together.
-    held: str | None = None
-    for row in items.orderBy("i").toLocalIterator():
-        if filled >= block_words and row["i"] != held:
-            closed(False)
-            blocks[0], filled = [], 0
-        blocks[0].append((row["i"], row["t"]))
-        filled, held = filled + row["t"].count(" ") + 1, row["i"]
-    closed(True)
-    return out.drop("text")
+    row = [F.struct(*[store.column(c).alias(c) for c in docs.columns]).alias("row")] if keep_row else []
+    text = store.column(text_col).cast("string")
+    docs = docs.select(store.column(id_col).cast("long").alias("doc_id"), text.alias("text"), *row)
+    keep = [c for c in docs.columns if c != "text"]
+    counts = counted(docs)
+    blocks = cut(benchmark, item_col, item_text_col, size, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return matched(docs, build(first, counts, size), keep, True).select("doc_id", "n_words", "spans", "items", *keep[1:])
+    # Rows that one block or another hits, known by id and text; the first block's map has every document's words.
+    variant = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("variant", variant)
+    found = None
+    for block in itertools.chain([first, second], blocks):
+        own = store.saved(matched(keyed, build(block, counts, size), ["doc_id", "variant"], False).dropDuplicates(["doc_id", "variant"]), "decontam")
+        found = own if found is None else found.unionByName(own)
+    together = found.groupBy("doc_id", "variant").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # at most a row a block
+    none = build([], counts, size)
+    words = matched(keyed, none, [*keep, "variant"], True).drop("spans", "items").withColumnsRenamed({"doc_id": "d", "variant": "v"})
+    joined = words.join(together, words["d"].eqNullSafe(together["doc_id"]) & (words["v"] == together["variant"]), "left")
+    spans = F.coalesce(F.array_sort("spans"), F.array().cast("array<array<int>>"))
+    return joined.select(F.col("d").alias("doc_id"), "n_words", merged(spans).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *keep[1:])
+
+
+def merged(spans):
+    """Sorted spans, where those that touch are one."""
+    empty = F.array().cast("array<array<int>>")
+
+    def step(out, s):
+        last = F.try_element_at(out, F.lit(-1))
+        grown = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.array(last[0], F.greatest(last[1], s[1]))))
+        return F.when((F.size(out) > 0) & (last[1] >= s[0]), grown).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(spans, empty, step)
 
 
 def digest(found: DataFrame, threshold: int = 2) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from quern.llm import decontam, queries
@@ -32,8 +33,6 @@ def brute(texts, items, size, threshold=2):
 
 
 def sample():
-    import random
-
     rng, texts = random.Random(5), awkward(1)
     items = [(i, prose(rng, 14)) for i in range(8)] + [(3, "the of"), (10, None), (None, "the of was"), (11, ""), (12, "Буква, 漢字!"), (2, prose(rng, 9)), (100, "edor")]
     texts += [prose(rng, 9) + " -- " + items[2][1].upper().replace(" ", ", ") + " " + items[5][1], items[0][1], items[0][1][3:]]
@@ -54,6 +53,29 @@ def test_blocks_of_items(spark):
     assert [tuple(r) for r in decontam.digest(found).orderBy("doc_id").collect()] == brute(texts, items, 8)
 
 
+def test_long_items_and_repetitive_texts(spark):
+    """Items without spaces count by their words and are cut; many windows of one rarest word propose bounded starts."""
+    rng = random.Random(8)
+    digits = lambda n: "\n".join(rng.choice("01") for _ in range(n))
+    items = [(1, digits(300)), (2, "-".join(rng.choice("01") for _ in range(40))), (3, "0 1 0"), (4, digits(9)), (2, prose(rng, 30).replace(" ", "\t"))]
+    texts = [digits(2000), "0 1 " * 300, "1", None, digits(30) + " x " + digits(30), prose(rng, 50), items[4][1] + " 0"] * 2
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(texts, items, 8)
+    for most in (decontam.BLOCK_WORDS, 60):
+        assert [tuple(r) for r in decontam.digest(decontam.hits(docs(spark, texts), bench, block_words=most)).orderBy("doc_id").collect()] == want
+    assert max(len(b) for b in [list(decontam.parts(t, 8, 50)) for _, t in items]) > 1
+    assert all(n <= 50 for _, t in items for _, n in decontam.parts(t, 8, 50))
+
+
+def test_one_id_with_several_texts(spark):
+    texts, items = sample()
+    rows = [(k % 3 if k % 5 else None, t) for k, t in enumerate(texts)]
+    source, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((str(i), *b[1:]) for (i, _), b in zip(rows, brute(texts, items, 8), strict=True))
+    for most in (20, decontam.BLOCK_WORDS):
+        assert sorted((str(r[0]), *r[1:]) for r in decontam.digest(decontam.hits(source, bench, block_words=most)).collect()) == want
+
+
 def test_clean_keeps_columns(spark):
     texts, items = sample()
     source = docs(spark, texts)
