@@ -84,12 +84,14 @@ def layout(counts: dict[int, int], capacity: int = 2048) -> tuple[np.ndarray, in
     while below[capacity]:
         used: dict[int, int] = {}
         gap, at = capacity, int(below[capacity])
+        asked: dict[int, int] = {}
         while at:
             n = min(gap // at, int(left[at]) - used.get(at, 0))
             if n:
                 used[at] = used.get(at, 0) + n
                 gap -= n * at
             at = int(below[min(gap, at - 1)])
+        asked |= used
         if gap and sum(used.values()) > 1:
             least = min(used)
             used[least] -= 1
@@ -109,7 +111,8 @@ def layout(counts: dict[int, int], capacity: int = 2048) -> tuple[np.ndarray, in
             else:
                 used[least] += 1
             used = {k: n for k, n in used.items() if n}
-        times, offset = min(int(left[k]) // n for k, n in used.items()), 0
+        # The next bin is the same as long as it finds all that this one looked at, taken or not.
+        times, offset = min((int(left[k]) - max(n, asked.get(k, 0))) // n + 1 for k, n in used.items()), 0
         for length, n in sorted(used.items(), reverse=True):
             places.append((length, int(taken[length]), times * n, bins, n, offset))
             taken[length] += times * n

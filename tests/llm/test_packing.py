@@ -78,6 +78,42 @@ def test_layout_places_all_once(counts):
     assert bins <= 2 * sum(k * n for k, n in counts.items()) / 50 + 1
 
 
+def one_by_one(counts, capacity):
+    """Bins as lists of lengths: greedy, then the smallest for the two that fill its place best."""
+    left, bins = collections.Counter(counts), []
+    while +left:
+        own, gap = [], capacity
+        for x in sorted(left, reverse=True):
+            while left[x] and x <= gap:
+                own.append(x)
+                left[x] -= 1
+                gap -= x
+        if gap and len(own) > 1:
+            least = min(own)
+            room = gap + least
+            pairs = [(a + b, -a, a, b) for a in left for b in left if b <= a and left[a] and left[b] and (a != b or left[a] > 1) and a + b <= room]
+            best = max(pairs, default=(0, 0, 0, 0))
+            if best[0] > least:
+                own.remove(least)
+                left[least] += 1
+                for x in best[2:]:
+                    own.append(x)
+                    left[x] -= 1
+        bins.append(sorted(own))
+    return sorted(bins)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 25), max_size=12))
+def test_repeated_patterns_are_bins_one_by_one(counts):
+    places, bins = packing.layout(counts, 30)
+    content = collections.defaultdict(list)
+    for length, _, n, begin, copies, _ in places.tolist():
+        for r in range(n):
+            content[begin + r // copies].append(length)
+    assert sorted(map(sorted, content.values())) == one_by_one(counts, 30)
+
+
 def test_two_for_one():
     # Greedy takes 6 + 3 and leaves a gap of 1; the 3 gives way to two 2s.
     places, bins = packing.layout({6: 1, 3: 1, 2: 2}, 10)
