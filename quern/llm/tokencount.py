@@ -9,16 +9,21 @@ block's end are stitched by a prefix scan over the blocks (an open count runs
 on until a block with a separator resets it), and the same scan runs over
 files when the corpus is one stream cut into files.
 
-Files are written with Spark's own text sink: a row is a document's ids, and
-the line separator is the separator id's bytes. So any file system Spark
-knows will do, and writing survives lost executors. Files are kept to
-``FILE_TOKENS`` ids, about, as the binary source reads a file as one row.
+Files are written with Spark's own text sink: a row is a whole file's ids, and
+the line separator is the separator id's bytes, which closes its last document.
+So any file system Spark knows will do, and writing survives lost executors. A
+file takes documents until it has ``FILE_TOKENS`` ids, as the binary source
+reads a file as one row; only a document that is longer has a longer file (of
+its own, at most Spark's 2 GiB). Beside each token file stands a file with the
+ids of its documents, so that counts can be told to them.
 
 Defined results: an empty file has no documents; ids behind a file's last
 separator are an unfinished document (``complete`` false), or go on in the next
 file with ``stream=True``; adjacent separators are empty documents of one id
-(the separator counts); a null or empty text is such a document; repeated texts
-are counted each. Texts of any length are read whole.
+(the separator counts); a null or empty text is such a document; repeated texts,
+and rows of one document id, are counted each; a null document id stays null;
+columns other than the id and the text are ignored. Texts of any length are
+read whole.
 """
 
 from __future__ import annotations
@@ -30,30 +35,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import store, tokens
 
 #: Ids looked through at a time, and ids in a written file, about.
 BLOCK_IDS, FILE_TOKENS = 1 << 16, 4 << 20
 COUNTS = "file string, ordinal long, start long, n_tokens long, complete boolean"
 
 
-def write(docs: DataFrame, to: str, path: str, end_id: int = 49407, width: int = 2, text_col: str = "text") -> None:
-    """Writes ``docs`` as flat token files under the folder ``to``. The ids of ordinary text never include ``end_id``."""
+def write(docs: DataFrame, to: str, path: str, end_id: int = 49407, width: int = 2, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> None:
+    """Writes ``docs`` as flat token files under the folder ``to``/kind=0, their ids under ``to``/kind=1. The ids of ordinary text never include ``end_id``."""
     limit, dtype = 1 << 8 * width, f"<u{width}"
     if not 0 <= end_id < limit:
         raise ValueError("end_id does not fit the width")
+    end = end_id.to_bytes(width, "little")
+    schema = pa.schema([("kind", pa.int32()), ("seq", pa.int64()), ("value", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        named: list[bytes] = []
+        seq = size = 0
+
+        def closed() -> pa.RecordBatch:
+            values = [end.join(held), b"".join(named)]
+            return pa.record_batch([pa.array([0, 1], pa.int32()), pa.array([seq, seq]), pa.array(values, pa.binary())], schema=schema)
+
         for batch in batches:
-            for _, _, flat, offsets in tokens.encoded(batch.column(0), path, ordinary=True):
+            names = batch.column(0)
+            ids = np.column_stack([names.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), names.fill_null(0).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)]) if len(batch) else None
+            for i, _, flat, offsets in tokens.encoded(batch.column(1), path, ordinary=True):
                 if len(flat) and (flat.max() >= limit or (flat == end_id).any()):
                     raise ValueError("an id is the separator or does not fit the width")
                 raw = flat.astype(dtype)
-                yield pa.record_batch([pa.array([raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["ids"])
+                for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    if held and size + b - a + 1 > file_tokens:
+                        yield closed()
+                        held, named, seq, size = [], [], seq + 1, 0
+                    held.append(raw[a:b].tobytes())
+                    named.append(ids[i + k].tobytes())
+                    size += b - a + 1
+        if held:
+            yield closed()
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "ids binary")
-    separator = end_id.to_bytes(width, "little").decode("latin-1")
-    rows.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 4096).text(to)
+    rows = docs.select(store.column(id_col).cast("long").alias("id"), store.column(text_col).cast("string").alias("text")).mapInArrow(run, "kind int, seq long, value binary")
+    rows = rows.sortWithinPartitions("kind", "seq").select("kind", F.col("value").cast("string").alias("value"))
+    rows.write.option("lineSep", end.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).partitionBy("kind").text(to)
 
 
 def scan_ids(raw: bytes, end_id: int, width: int, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray, int]:
@@ -88,6 +113,7 @@ def count(spark: SparkSession, folder: str, end_id: int = 49407, width: int = 2,
     document's ``start`` is negative if it began in an earlier file.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    files = files.where("kind = 0") if "kind" in files.columns else files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,15 +125,45 @@ def count(spark: SparkSession, folder: str, end_id: int = 49407, width: int = 2,
                 yield pa.record_batch([pa.array([name] * len(start), pa.string()), pa.array(np.arange(len(start))), pa.array(start), pa.array(size), pa.array(np.arange(len(start)) < n)], names=["file", "ordinal", "start", "n_tokens", "complete"])
 
     found = files.select("path", "content").mapInArrow(run, COUNTS)
-    if not stream:
-        return found
-    # The same scan over files, first within groups of 1,000 paths by size-ordered prefix, on one small row a file.
-    ends = found.groupBy("file").agg(F.max("complete").alias("closed"), F.sum(F.when(~F.col("complete"), F.col("n_tokens")).otherwise(0)).alias("tail"))
-    order = Window.orderBy("file")
-    runs = ends.withColumn("group", F.coalesce(F.sum(F.col("closed").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    upto = Window.partitionBy("group").orderBy("file").rowsBetween(Window.unboundedPreceding, 0)
-    carried = runs.withColumn("open", F.sum("tail").over(upto)).select("file", F.coalesce(F.lag("open").over(order), F.lit(0)).alias("carried"), F.col("open"), (F.lead("file").over(order).isNull()).alias("last"))
-    joined = found.join(carried, "file").where("complete or last")
+    return _stitched(store.saved(found, "token-counts")) if stream else found
+
+
+def _stitched(found: DataFrame) -> DataFrame:
+    """The same scan over files: in ranges of paths first, on one small row a file, then over the ranges, on one row each."""
+    ends = found.groupBy("file").agg(F.max("complete").cast("int").alias("closed"), F.sum(F.when(~F.col("complete"), F.col("n_tokens")).otherwise(0)).alias("tail"))
+    ends = store.saved(ends.repartitionByRange("file").withColumn("run", F.spark_partition_id()), "token-files-ends")
+    upto = (Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("run").orderBy("file")
+    ends = ends.withColumn("group", F.sum("closed").over(inside.rowsBetween(*upto)))
+    ends = ends.withColumn("open", F.sum("tail").over(Window.partitionBy("run", "group").orderBy("file").rowsBetween(*upto)))
+    # What a range leaves open is the tail of its last group; with no separator in it, all it has, on top of what came before.
+    runs = ends.groupBy("run").agg(F.max("closed").alias("closed"), F.max(F.struct("group", "open")).alias("last"), F.max("file").alias("to"))
+    over = Window.orderBy("run")  # at most a row a partition
+    runs = runs.withColumn("g", F.sum("closed").over(over.rowsBetween(*upto))).withColumn("left", F.sum("last.open").over(Window.partitionBy("g").orderBy("run").rowsBetween(*upto)))
+    runs = runs.select("run", F.coalesce(F.lag("left").over(over), F.lit(0)).alias("carry"), (F.lead("run").over(over).isNull()).alias("final"), "to")
+    ends = ends.join(F.broadcast(runs), "run").withColumn("open", F.col("open") + F.when(F.col("group") == 0, F.col("carry")).otherwise(0))
+    ends = ends.select("file", "open", F.coalesce(F.lag("open").over(inside), "carry").alias("carried"), (F.col("final") & (F.col("file") == F.col("to"))).alias("last"))
+    joined = found.join(ends, "file").where("complete or last")
     first = (F.col("ordinal") == 0) & F.col("complete")
     more = F.when(first, F.col("carried")).when(~F.col("complete"), F.col("open") - F.col("n_tokens")).otherwise(0)
     return joined.select("file", "ordinal", (F.col("start") - more).alias("start"), (F.col("n_tokens") + more).alias("n_tokens"), "complete")
+
+
+def count_documents(spark: SparkSession, folder: str, end_id: int = 49407, width: int = 2) -> DataFrame:
+    """``count`` of files that ``write`` has written, as one stream, with each document's doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.uint8)
+                own = own[: len(own) - width].reshape(-1, 9)  # the sink's separator stands behind the last
+                ids = pa.array(np.ascontiguousarray(own[:, 1:]).view("<i8").ravel(), pa.int64(), mask=own[:, 0] == 0)
+                yield pa.record_batch([pa.array([name] * len(own), pa.string()), pa.array(np.arange(len(own))), ids], names=["name", "nth", "doc_id"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    if "kind" not in files.columns:  # no document was written
+        return spark.createDataFrame([], "doc_id long, " + COUNTS)
+    ids = files.where("kind = 1").select("path", "content").mapInArrow(run, "name string, nth long, doc_id long")
+    counts = count(spark, folder, end_id, width, stream=True)
+    same = lambda c: F.concat_ws("-", F.regexp_extract(c, r"part-(\d+)-[^/]*$", 1), F.regexp_extract(c, r"\.c(\d+)[^/]*$", 1))
+    return counts.withColumn("at", same("file")).join(ids.withColumn("by", same("name")), (F.col("at") == F.col("by")) & (F.col("ordinal") == F.col("nth"))).select("doc_id", *counts.columns)

@@ -43,6 +43,30 @@ def test_round_trip(spark):
     assert [r["n_tokens"] for r in got] == want and all(r["complete"] for r in got)
 
 
+@pytest.mark.parametrize("file_tokens", [1, 40, 10**6])
+def test_documents_by_id(spark, file_tokens):
+    """Files are cut by ids; each row's count finds its document, whatever its id."""
+    texts = awkward()
+    source = docs(spark, texts).selectExpr("case when doc_id % 7 = 3 then null else doc_id % 20 end as doc_id", "text", "'x' as kind", "1 as value").repartition(3)
+    folder = store.new_path(spark, "t")
+    tokencount.write(source, folder, PATH, file_tokens=file_tokens)
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    want = sorted((str(r["doc_id"]), len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in source.collect())
+    out = tokencount.count_documents(spark, folder).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in out) == want and all(r["complete"] for r in out)
+    sums = {}
+    for r in out:
+        sums.setdefault(r["file"], []).append(r["n_tokens"])
+    assert all(sum(x) <= file_tokens or len(x) == 1 for x in sums.values())
+
+
+def test_no_documents(spark):
+    folder = store.new_path(spark, "t")
+    tokencount.write(docs(spark, ["x"]).limit(0), folder, PATH)
+    assert tokencount.count_documents(spark, folder).collect() == []
+
+
 def test_stream_over_files(spark, tmp_path):
     rng = random.Random(3)
     for trial in range(4):
@@ -66,5 +90,5 @@ def test_odd_size_fails():
 def test_query(spark, small):
     rows = queries.table(spark, small, "documents").collect()
     library = Tokenizer.from_file(PATH)
-    want = sorted(len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for r in rows)
-    assert sorted(r["n_tokens"] for r in queries.op9_separator_scan(spark, small).collect()) == want
+    want = sorted((r["doc_id"], len(library.encode(r["text"], add_special_tokens=False).ids) + 1, True) for r in rows)
+    assert sorted(tuple(r) for r in queries.op9_separator_scan(spark, small).collect()) == want
