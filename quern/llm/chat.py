@@ -27,7 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import store
+
 PART_TURNS = 256
+#: Parts of a conversation that a participant meets in one place.
+JOIN_PARTS = 64
 SYSTEM = "system"
 
 
@@ -35,18 +39,22 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     """conv_id, perspective, part, n_turns, start, text, spans (relative to the part), n_masked: a row for each part of each rendering."""
     name = F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown"))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), name.alias("speaker"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # Part of a turn: turns are counted by turn number first, so parts don't need a conversation's turns in one place.
-    numbers = rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.floor(F.coalesce("turn", F.lit(-1)) / part_turns).alias("bucket"))
-    buckets = numbers.groupBy("conv_id", "bucket").agg(F.sum("n").alias("in_bucket"))
-    before = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
-    rows = rows.withColumn("bucket", F.floor(F.coalesce("turn", F.lit(-1)) / part_turns)).alias("r")
-    rows = rows.join(buckets.alias("b"), F.col("r.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("r.bucket") == F.col("b.bucket"))).select("r.*", "before")
-    place = Window.partitionBy("conv_id", "bucket").orderBy("turn", "speaker", "text")
-    rows = rows.withColumn("at", F.row_number().over(place) + F.col("before") - 1).withColumn("part", F.floor(F.col("at") / part_turns))
-    people = rows.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
+    # Equal turns are counted, and distinct ones numbered in range partitions (nulls first), so a conversation of any size, and any turn number in it, is spread.
+    order = ["conv_id", "turn", "speaker", "text"]
+    dealt = store.saved(rows.groupBy(*order).agg(F.count("*").alias("n")).repartitionByRange(*order).withColumn("run", F.spark_partition_id()), "chat-turns")
+    runs = dealt.groupBy("conv_id", "run").agg(F.sum("n").alias("in_run"))
+    whole = Window.partitionBy("conv_id").orderBy("run")  # at most a row a partition
+    runs = runs.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), F.coalesce(F.sum("in_run").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = Window.partitionBy("conv_id", "run").orderBy("turn", "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(runs, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r")))
+    first = F.col("before") + F.col("within")
+    rows = placed.select("conv_id", "speaker", "text", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("at")).withColumn("part", F.floor(F.col("at") / part_turns))
     parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("at", "speaker", "text"))).alias("turns"))
-    each = parts.join(people, parts["conv_id"].eqNullSafe(people["c"])).drop("c")
+    # Participants meet the parts of their conversation in groups of JOIN_PARTS.
+    sizes = dealt.groupBy("conv_id").agg(F.ceil(F.sum("n") / (part_turns * JOIN_PARTS)).cast("int").alias("groups")).withColumnRenamed("conv_id", "s")
+    people = dealt.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct().join(sizes, F.col("c").eqNullSafe(F.col("s")))
+    people = people.select("c", "perspective", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"))
+    each = parts.join(people, parts["conv_id"].eqNullSafe(people["c"]) & (F.floor(F.col("part") / JOIN_PARTS) == F.col("g"))).select("conv_id", "perspective", "part", "turns")
 
     def head(t: Column) -> Column:
         user = F.concat(F.lit("<|im_start|>user name="), t["speaker"], F.lit("\n"))
@@ -62,12 +70,14 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         mine = t["speaker"] == F.col("perspective")
         return F.struct((close + 1).cast("int").alias("size"), F.when(mine, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    rendered = each.select(
-        "conv_id", "perspective", F.col("part").cast("int").alias("part"), F.size("turns").alias("n_turns"),
+    # Where a part starts is summed over sizes, without texts.
+    size = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.length(head(t)) + F.length(t["text"]) + len(tail))
+    earlier = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = each.select("conv_id", "perspective", "part", size.alias("size")).withColumn("start", F.coalesce(F.sum("size").over(earlier), F.lit(0)).cast("long"))
+    starts = starts.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("part").alias("k"), "start")
+    masked = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"])
+    return each.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("part") == F.col("k"))).select(
+        "conv_id", "perspective", F.col("part").cast("int").alias("part"), F.size("turns").alias("n_turns"), "start",
         F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["text"], F.lit(tail))), "").alias("text"),
         F.aggregate("turns", empty, step)["spans"].alias("spans"),
-    )
-    order = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rendered.withColumn("start", F.coalesce(F.sum(F.length("text")).over(order), F.lit(0)).cast("long"))
-    masked = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"])
-    return sizes.select("conv_id", "perspective", "part", "n_turns", "start", "text", "spans", masked.cast("long").alias("n_masked"))
+    ).withColumn("n_masked", masked.cast("long"))

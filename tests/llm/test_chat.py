@@ -45,7 +45,7 @@ def joined(rows):
 def test_equals_brute_force(spark, part):
     rng = random.Random(2)
     rows = [(rng.choice([1, 2, 3, None]), rng.choice([None, *range(40)]), rng.choice(["a", "b", "system", None, "été"]), rng.choice([None, "", "x", "été 漢 y"])) for _ in range(120)]
-    rows += [(9, 0, "system", "only"), rows[0], rows[0], (4, 10**6, "z", "long " * 500), (4, -3, "y", "neg")]
+    rows += [(9, 0, "system", "only"), rows[0], rows[0], (4, 10**6, "z", "long " * 500), (4, -3, "y", "neg"), (4, -300, "z", "very"), (4, -300, None, None), (4, None, "z", "none"), (4, None, "a", "none")]
     source = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, part string")
     assert joined(chat.rotate(source, part_turns=part).collect()) == brute(rows)
 
@@ -56,6 +56,13 @@ def test_parts_are_bounded(spark):
     assert len(rows) == 30 and max(r["n_turns"] for r in rows) == 100
 
 
+def test_null_and_constant_turns_of_many_rows(spark):
+    rows = [(None, None, f"p{k % 3}", f"t{k % 7}") for k in range(400)] + [(1, 5, "a", f"{k}") for k in range(150)] + [(1, 5, "b", "same")] * 150
+    source = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.rotate(source, part_turns=2).collect()
+    assert joined(out) == brute(rows) and max(r["n_turns"] for r in out) == 2
+
+
 def test_empty(spark):
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
