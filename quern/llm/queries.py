@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from . import ann, chat, decontam, langid, linededup, minhash, packing, sharding, store, substring, tokencount
 
-#: Bytes of text in a shard.
-SHARD_BYTES = 16 << 20
+#: Bytes of text in a shard: small ones, so that a shard is one batch of a reader.
+SHARD_BYTES = 256 << 10
 #: Ids in a packed sequence.
 CAPACITY = 2048
 
@@ -67,8 +67,7 @@ def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = store.new_path(spark, "token-files")
     tokencount.write(table(spark, sf_dir, "documents"), folder, tokenizer_file())
-    found = tokencount.count(spark, folder)
-    return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), "ordinal", "start", "n_tokens", "complete")
+    return tokencount.count_documents(spark, folder).select("doc_id", "n_tokens", "complete")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,19 @@ def test_one_key_holds_all(spark):
     assert all(len(v) <= 5 and v[0]["shard_bytes"] == 10 * len(v) for v in shards.values())
 
 
+@pytest.mark.parametrize("broadcast_cells", [0, sharding.BROADCAST_CELLS])
+def test_clashing_names_and_lookups(spark, broadcast_cells):
+    texts = awkward()
+    more = "shard string, Shard_Bytes int, key int, id string, path string, n int, own int, cell int, lshard_rows int"
+    source = docs(spark, texts).selectExpr("*", "'s' shard", "7 Shard_Bytes", "1 key", "'i' id", "'p' path", "2 n", "3 own", "4 cell", "5 lshard_rows")
+    out = sharding.assign(source, 400, broadcast_cells=broadcast_cells)
+    assert more.count(",") + 1 == 9 and out.columns == [*source.columns, "shard_", "shard_bytes_", "shard_rows", "oversize"]
+    rows = out.collect()
+    assert sorted(map(str, (tuple(r)[: len(source.columns)] for r in rows))) == sorted(map(str, map(tuple, source.collect())))
+    want = brute([(str(i), len((t or "").encode())) for i, t in enumerate(texts)], 400)
+    assert {str(r["doc_id"]): (r["shard_"], r["shard_bytes_"], r["shard_rows"]) for r in rows} == want
+
+
 def test_empty(spark):
     assert sharding.assign(docs(spark, ["x"]).limit(0), 10).collect() == []
 
