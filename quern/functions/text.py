@@ -86,20 +86,26 @@ def topic_sentences(c: Column, terms: list[str]) -> Column:
 def net_direction(sentence: Column, terms: list[str], negators: list[str] | None = None, window: int = lexicon.NEGATION_WINDOW) -> Column:
     """Matches of the terms, each +1, or -1 with a negator among the ``window`` words before it.
 
-    A sentence is cut at the matches; walking along, what stood before a match
-    (with earlier matches in place) shows the words in front of it.
+    A sentence is cut at the matches, which begin and end at word boundaries, so
+    the words before a match are those of the pieces before it. Walking along,
+    the last ``window`` of them are kept: each piece is looked at once.
     """
     pattern = lexicon.pattern(terms)
     negator = lexicon.pattern(negators or lexicon.NEGATORS)
     gaps, found = F.split(sentence, pattern, -1), F.regexp_extract_all(sentence, F.lit(pattern), F.lit(0))
 
+    def words(part: Column) -> Column:
+        return F.regexp_extract_all(part, F.lit(r"(?U)\b\w+\b"), F.lit(0))
+
+    def last(own: Column) -> Column:
+        return F.slice(own, F.greatest(F.size(own) - (window - 1), F.lit(1)), F.lit(window))
+
     def step(state: Column, k: Column) -> Column:
-        before = F.concat(state["before"], gaps[k])
-        near = F.slice(F.reverse(F.regexp_extract_all(before, F.lit(r"(?U)\b\w+\b"), F.lit(0))), 1, window)
+        near = last(F.concat(state["before"], words(gaps[k])))
         negated = F.exists(near, lambda w: F.regexp_replace(w, negator, "") == "")
-        return F.struct(F.concat(before, found[k]).alias("before"), (state["net"] + F.when(negated, -1).otherwise(1)).alias("net"))
+        return F.struct(last(F.concat(near, words(found[k]))).alias("before"), (state["net"] + F.when(negated, -1).otherwise(1)).alias("net"))
 
-    start = F.struct(F.lit("").alias("before"), F.lit(0).alias("net"))
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("before"), F.lit(0).alias("net"))
     steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
     return F.aggregate(steps, start, step, lambda s: s["net"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coders
-from . import quality
+from . import quality, relational
 
 
 def categories(variable: Column) -> Column:
@@ -78,7 +78,7 @@ def exact_intervals(df: DataFrame, k: str, n: str, low: str, high: str) -> DataF
 
 
 def outlook_errors(wide: DataFrame, att: tuple[str, str], out: tuple[str, str], id_col: str, strict_reversal: bool = True) -> DataFrame:
-    """What outlook disagreements are: forced by attention, independent of it, a direction against neutral, reversed signs; and the ids.
+    """What outlook disagreements are: forced by attention, independent of it, a direction against neutral, reversed signs. Their ids are in ``outlook_error_rows``.
 
     ``strict_reversal``: opposite signs only; otherwise any two different codes that aren't 0.
     """
@@ -87,13 +87,20 @@ def outlook_errors(wide: DataFrame, att: tuple[str, str], out: tuple[str, str],
     apart = F.signum(x.cast("double")) * F.signum(y.cast("double"))
     reversed_ = wrong & (apart < 0 if strict_reversal else apart != 0)
     same_att = a == b
-    ids = F.array_join(F.array_sort(F.collect_list(F.when(wrong, F.col(id_col).cast("string")))), " ")
     return wide.agg(
         F.count_if(wrong).alias("n_wrong"), F.count_if(wrong & ~same_att).alias("forced_by_attention"), F.count_if(wrong & same_att).alias("independent"),
-        F.count_if(wrong & ((x == 0) | (y == 0))).alias("direction_to_neutral"), F.count_if(reversed_).alias("sign_reversals"), ids.alias("ids"),
+        F.count_if(wrong & ((x == 0) | (y == 0))).alias("direction_to_neutral"), F.count_if(reversed_).alias("sign_reversals"),
     )
 
 
+def outlook_error_rows(wide: DataFrame, att: tuple[str, str], out: tuple[str, str], id_col: str) -> DataFrame:
+    """A row for each outlook disagreement: its id, kind (forced, independent), whether one side is neutral and whether signs are opposite. Nothing is gathered."""
+    a, b, x, y = F.col(att[0]), F.col(att[1]), F.col(out[0]), F.col(out[1])
+    kind = F.when(a == b, "independent").otherwise("forced")
+    opposite = F.signum(x.cast("double")) * F.signum(y.cast("double")) < 0
+    return wide.where(x != y).select(F.col(id_col), kind.alias("kind"), ((x == 0) | (y == 0)).alias("neutral"), opposite.alias("reversed"))
+
+
 def pooled(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """All cells together: n_cells, n_agree, agreement."""
     both = pairs.where("a is not null and b is not null")
@@ -111,7 +118,7 @@ def horse_race(cells: DataFrame) -> DataFrame:
 
 
 def error_overlap(df: DataFrame, a: str, b: str, truth: str, id_col: str) -> DataFrame:
-    """kind (FP, FN), only_a, only_b, shared: sorted ids of two instruments' errors."""
+    """kind (FP, FN), only_a, only_b, shared: sorted ids of two instruments' errors, for a report on a small sample; ``error_rows`` is for any number."""
 
     def ids(code: str, wrong: int) -> Column:
         return F.collect_set(F.when((F.col(code) == wrong) & (F.col(truth) == 1 - wrong), F.col(id_col)))
@@ -189,7 +196,7 @@ def require_flags_consistent(rows: DataFrame, a: str, b: str, flag: str) -> Data
 def threshold_at_prevalence(scores: DataFrame, score: str, rate: float) -> float:
     """The score that a share of ``rate`` exceeds, linear between ranks."""
     quality.require(0 < rate < 1, f"rate {rate} is not inside (0, 1)")
-    return scores.agg(F.percentile(F.col(score).cast("double"), 1 - rate)).first()[0]
+    return relational.quantile(scores, score, 1 - rate)
 
 
 def code_attention(rows: DataFrame, score: str, rate: float, to: str, baseline: Column | None = None) -> DataFrame:
@@ -204,7 +211,7 @@ def code_outlook(rows: DataFrame, tone: str, attention: str, neutral_rate: float
     share = rows.agg(F.avg(attending.cast("double"))).first()[0]
     quality.require(bool(share), "no row attends")
     left = neutral_rate - (1 - share)
-    band = 0.0 if left <= 0 else rows.where(attending).agg(F.percentile(F.abs(F.col(tone).cast("double")), min(left / share, 1.0))).first()[0]
+    band = 0.0 if left <= 0 else relational.quantile(rows.where(attending), F.abs(F.col(tone).cast("double")), min(left / share, 1.0))
     return rows.withColumn(to, F.when(attending & (F.abs(F.col(tone)) > F.lit(band)), F.signum(F.col(tone).cast("double")).cast("int")).otherwise(0))
 
 

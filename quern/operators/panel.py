@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
+from ..sources import shared
 from . import quality, relational
 
 #: Years kept, words below which a text is short.
@@ -20,10 +21,15 @@ def clean(raw: DataFrame, years: tuple[int, int] = YEARS) -> DataFrame:
 
 
 def placed(rows: DataFrame, by: list[Column], to: str = "place") -> DataFrame:
-    """Places, from 1, in a total order: ranks inside range partitions, shifted by the counts before, so no task sees all rows."""
+    """Places, from 1, in a total order: ranks inside range partitions, shifted by the counts before, so no task sees all rows.
+
+    Rows that tie go by a hash of all their columns. The ranked partitions are
+    saved, so that a lost executor can't rank ties anew.
+    """
     spark = rows.sparkSession
+    by = [*by, F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))]
     dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_in", F.col("_in").bitwiseAND((1 << 33) - 1)).persist()
+    dealt = shared.saved(dealt.withColumn("_in", F.col("_in").bitwiseAND((1 << 33) - 1)), "places")
     counts = dict(dealt.groupBy("_part").count().collect())  # one row a partition
     before, total = {}, 0
     for p in sorted(counts):

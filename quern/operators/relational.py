@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Accuracy, in ranks over all, of the quantile that brackets an exact one.
+BRACKET = 1e-4
+
 from . import quality
 
 #: Rows of a dimension that is sent to all executors in range joins.
@@ -66,7 +69,8 @@ def range_join(df: DataFrame, at: str, terms: DataFrame, start: str, end: str, o
 
     The terms become disjoint pieces first, so the join meets at most one piece
     a row and nothing has to be grouped afterwards; dates are bucketed by year
-    for an equality key, so it also shuffles well for many terms.
+    for an equality key. Terms are a small frame (of offices, regimes): their
+    pieces are made in one task. Rows of ``df`` may be any number.
     """
     columns = [c for c in terms.columns if c not in (start, end, order)]
     edges = terms.select(F.explode(F.array(F.col(start), F.date_add(F.coalesce(F.col(end), F.to_date(F.lit("9998-12-31"))), 1))).alias("_from")).distinct()
@@ -86,7 +90,8 @@ def next_event(df: DataFrame, at: str, events: DataFrame, event_at: str, rank: s
     """Each row with the first event strictly after it: its index, its date, and the event before (null for the first). Rows after the last event go.
 
     Events become intervals [previous, own); rows and intervals meet on the
-    month, so no side has to be small.
+    month. Distinct event dates are numbered in one task, as a period frame is;
+    rows of ``df`` may be any number.
     """
     order = Window.orderBy(event_at)
     spans = events.select(event_at).where(F.col(event_at).isNotNull()).distinct().select(F.col(event_at).alias(date), F.lag(event_at).over(order).alias(start), (F.row_number().over(order) - 1).alias(rank))
@@ -160,6 +165,34 @@ def pair_correlations(df: DataFrame, names: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"`{x}|{y}`").alias("r")) for x, y in pairs])).alias("p")).select("p.*")
 
 
+def quantile(df: DataFrame, column: str | Column, p: float) -> float | None:
+    """The exact quantile, linear between ranks, of any number of rows; nulls left out.
+
+    An approximate quantile brackets the ranks asked for; only the values in
+    the bracket (some ten thousandths of the rows) are counted and ordered.
+    """
+    c = F.col(column) if isinstance(column, str) else column
+    rows = df.select(c.cast("double").alias("v")).where("v is not null")
+    span = 2 * BRACKET
+    n, (lo, hi) = rows.agg(F.count("*"), F.percentile_approx("v", [max(0.0, p - span), min(1.0, p + span)], int(1 / BRACKET))).first() if p is not None else (0, (None, None))
+    if not n:
+        return None
+    at = (n - 1) * p
+    wanted = (int(at), min(int(at) + 1, n - 1))
+    below = rows.where(F.col("v") < lo).count() if p > span else 0
+    inside = rows.where(F.col("v").between(lo if p > span else float("-inf"), hi if p + span < 1 else float("inf"))).groupBy("v").count()
+    upto = inside.withColumn("upto", F.sum("count").over(Window.orderBy("v")) + below)
+    got = [upto.where(F.col("upto") > k).agg(F.min("v")).first()[0] for k in wanted]
+    if None in got or not below <= wanted[0]:
+        return rows.agg(F.percentile("v", p)).first()[0]  # the bracket missed, which its accuracy rules out
+    return got[0] + (at - int(at)) * (got[1] - got[0])
+
+
+def by_magnitude(df: DataFrame, column: str, *ties: str) -> DataFrame:
+    """Largest absolute value first, nulls last."""
+    return df.orderBy(F.abs(F.col(column)).desc_nulls_last(), *ties)
+
+
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """A fixed random order."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)

@@ -61,34 +61,31 @@ def sens_spec_intervals(spark, sf_dir):
     return agreement.exact_intervals(agreement.exact_intervals(c, "tp", "p", "recall_low", "recall_high"), "tn", "q", "specificity_low", "specificity_high").drop("p", "q")
 
 
-@query(f"""WITH x AS (SELECT o_orderkey AS i, att_b AS t, att AS a, CASE WHEN o_orderkey % 13 = 0 THEN 1 - att ELSE att END AS b FROM {PANEL_SQL} WHERE o_orderkey <= 600)
- SELECT 'FP' AS kind, coalesce(string_agg(i::VARCHAR, ' ' ORDER BY i) FILTER (a = 1 AND t = 0 AND NOT (b = 1)), '') AS only_a, coalesce(string_agg(i::VARCHAR, ' ' ORDER BY i) FILTER (b = 1 AND t = 0 AND NOT (a = 1)), '') AS only_b, coalesce(string_agg(i::VARCHAR, ' ' ORDER BY i) FILTER (a = 1 AND b = 1 AND t = 0), '') AS shared FROM x
- UNION ALL SELECT 'FN', coalesce(string_agg(i::VARCHAR, ' ' ORDER BY i) FILTER (a = 0 AND t = 1 AND NOT (b = 0)), ''), coalesce(string_agg(i::VARCHAR, ' ' ORDER BY i) FILTER (b = 0 AND t = 1 AND NOT (a = 0)), ''), coalesce(string_agg(i::VARCHAR, ' ' ORDER BY i) FILTER (a = 0 AND b = 0 AND t = 1), '') FROM x""")
-def error_overlap(spark, sf_dir):
-    p = panel(spark, sf_dir).where("o_orderkey <= 600").withColumn("b", F.when(F.col("o_orderkey") % 13 == 0, 1 - F.col("att")).otherwise(F.col("att")))
-    return agreement.error_overlap(p, "att", "b", "att_b", "o_orderkey")
-
-
 @query(f"""WITH x AS (SELECT o_orderkey, att_b AS t, att AS a, CASE WHEN o_orderkey % 13 = 0 THEN 1 - att ELSE att END AS b FROM {PANEL_SQL})
  SELECT CASE t WHEN 0 THEN 'FP' ELSE 'FN' END AS kind, CASE WHEN a = b THEN 'shared' WHEN a <> t THEN 'only_a' ELSE 'only_b' END AS side, o_orderkey FROM x WHERE a <> t OR b <> t""")
-def error_overlap_whole(spark, sf_dir):
+def error_overlap(spark, sf_dir):
     p = panel(spark, sf_dir).withColumn("b", F.when(F.col("o_orderkey") % 13 == 0, 1 - F.col("att")).otherwise(F.col("att")))
     return agreement.error_rows(p, "att", "b", "att_b", "o_orderkey")
 
 
 def _outlook_sql(reversal: str) -> str:
     return f"""SELECT count(*) FILTER (outl <> outl_b)::BIGINT AS n_wrong, count(*) FILTER (outl <> outl_b AND att <> att_b)::BIGINT AS forced_by_attention, count(*) FILTER (outl <> outl_b AND att = att_b)::BIGINT AS independent,
- count(*) FILTER (outl <> outl_b AND (outl = 0 OR outl_b = 0))::BIGINT AS direction_to_neutral, count(*) FILTER (outl <> outl_b AND {reversal})::BIGINT AS sign_reversals, sha256(coalesce(string_agg(o_orderkey::VARCHAR, ' ' ORDER BY o_orderkey::VARCHAR) FILTER (outl <> outl_b), '')) AS ids FROM {PANEL_SQL}"""
+ count(*) FILTER (outl <> outl_b AND (outl = 0 OR outl_b = 0))::BIGINT AS direction_to_neutral, count(*) FILTER (outl <> outl_b AND {reversal})::BIGINT AS sign_reversals FROM {PANEL_SQL}"""
 
 
 @query(_outlook_sql("outl * outl_b < 0"))
 def outlook_decomposition(spark, sf_dir):
-    return agreement.outlook_errors(panel(spark, sf_dir), ("att", "att_b"), ("outl", "outl_b"), "o_orderkey").withColumn("ids", F.sha2("ids", 256))
+    return agreement.outlook_errors(panel(spark, sf_dir), ("att", "att_b"), ("outl", "outl_b"), "o_orderkey")
 
 
 @query(_outlook_sql("outl * outl_b <> 0"))
 def outlook_decomposition_loose(spark, sf_dir):
-    return agreement.outlook_errors(panel(spark, sf_dir), ("att", "att_b"), ("outl", "outl_b"), "o_orderkey", False).withColumn("ids", F.sha2("ids", 256))
+    return agreement.outlook_errors(panel(spark, sf_dir), ("att", "att_b"), ("outl", "outl_b"), "o_orderkey", False)
+
+
+@query(f"SELECT o_orderkey, CASE WHEN att = att_b THEN 'independent' ELSE 'forced' END AS kind, outl = 0 OR outl_b = 0 AS neutral, outl * outl_b < 0 AS reversed FROM {PANEL_SQL} WHERE outl <> outl_b")
+def outlook_error_rows(spark, sf_dir):
+    return agreement.outlook_error_rows(panel(spark, sf_dir), ("att", "att_b"), ("outl", "outl_b"), "o_orderkey")
 
 
 @query(f"SELECT count(*)::BIGINT AS n_cells, count(*) FILTER (a = b)::BIGINT AS n_agree, round(avg((a = b)::INT::DOUBLE), 6) AS agreement FROM {_LONG}")

@@ -36,11 +36,16 @@ def cumsum_null_safe(spark, sf_dir):
     return v.select("m", F.round(ordered.running_total(F.col("v"), ordered.over("m")), 4).alias("total"))
 
 
-_CHANGES = "(SELECT o_orderdate::DATE AS d, max(o_totalprice) AS v FROM orders WHERE o_custkey % 29 = 0 GROUP BY 1)"
+#: Gaps come from the data: of the days of all orders, those on which the largest price enters another band, and the last.
+_BAND = 10000
+_CHANGES = f"(SELECT d, v FROM (SELECT d, v, lag(v) OVER (ORDER BY d) AS old, row_number() OVER (ORDER BY d DESC) AS back FROM (SELECT o_orderdate::DATE AS d, floor(max(o_totalprice) / {_BAND}) * {_BAND} AS v FROM orders GROUP BY 1)) WHERE old IS NULL OR v <> old OR back = 1)"
 
 
 def _changes(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_custkey % 29 = 0").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("v"))
+    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg((F.floor(F.max("o_totalprice") / _BAND) * F.lit(float(_BAND))).alias("v"))
+    w = ordered.over("d")
+    days = days.withColumns({"old": F.lag("v").over(w), "next": F.lead("d").over(w)})
+    return days.where("old is null or v <> old or next is null").select("d", "v")
 
 
 _DAILY = f"(SELECT g AS d, last_value(v IGNORE NULLS) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS g FROM {_CHANGES}) LEFT JOIN {_CHANGES} ON d = g)"
@@ -57,32 +62,6 @@ def eop_avg_quarter(spark, sf_dir):
     return out.select("period", r6(F.col("v_eop")).alias("v_eop"), r6(F.col("v_avg")).alias("v_avg"))
 
 
-#: Gaps come from the data: of the days of all orders, those on which the largest price enters another band, and the last.
-_BAND = 10000
-_CHANGES_WHOLE = f"(SELECT d, v FROM (SELECT d, v, lag(v) OVER (ORDER BY d) AS old, row_number() OVER (ORDER BY d DESC) AS back FROM (SELECT o_orderdate::DATE AS d, floor(max(o_totalprice) / {_BAND}) * {_BAND} AS v FROM orders GROUP BY 1)) WHERE old IS NULL OR v <> old OR back = 1)"
-
-
-def _changes_whole(spark, sf_dir):
-    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg((F.floor(F.max("o_totalprice") / _BAND) * F.lit(float(_BAND))).alias("v"))
-    w = ordered.over("d")
-    days = days.withColumns({"old": F.lag("v").over(w), "next": F.lead("d").over(w)})
-    return days.where("old is null or v <> old or next is null").select("d", "v")
-
-
-_DAILY_WHOLE = _DAILY.replace(_CHANGES, _CHANGES_WHOLE)
-
-
-@query(f"SELECT d, v FROM {_DAILY_WHOLE}")
-def ffill_daily_whole(spark, sf_dir):
-    return ordered.daily(_changes_whole(spark, sf_dir), "d", "v").select("d", "v")
-
-
-@query(f"SELECT date_trunc('quarter', d)::DATE AS period, round(arg_max(v, d), 6) AS v_eop, round(avg(v), 6) AS v_avg FROM {_DAILY_WHOLE} GROUP BY 1")
-def eop_avg_quarter_whole(spark, sf_dir):
-    out = ordered.end_and_mean(_changes_whole(spark, sf_dir), "d", "v")
-    return out.select("period", r6(F.col("v_eop")).alias("v_eop"), r6(F.col("v_avg")).alias("v_avg"))
-
-
 @query(f"SELECT round(sum((x - mu) * prev) / sum((x - mu) * (x - mu)), 6) AS acf FROM (SELECT x, mu, lag(x - mu) OVER (ORDER BY m) AS prev FROM (SELECT *, avg(x) OVER () AS mu FROM {_MONTHS}))")
 def acf_lag1(spark, sf_dir):
     return ordered.autocorrelation(_months(spark, sf_dir), "m", "x").select(r6(F.col("acf")).alias("acf"))
@@ -93,43 +72,22 @@ def monthly_to_quarterly(spark, sf_dir):
     return ordered.to_quarters(_months(spark, sf_dir), "m", "x", "n_months").select("period", r6(F.col("x")).alias("x"), "n_months")
 
 
-_EVENTS = "(SELECT date_trunc('quarter', d)::DATE AS period, sum(CASE WHEN d >= DATE '1996-01-01' THEN v END) AS qe, sum(v) AS target FROM (SELECT o_orderdate::DATE AS d, o_totalprice / 1000 AS v FROM orders WHERE o_custkey % 5 = 0) GROUP BY 1)"
+_EVENTS = "(SELECT date_trunc('quarter', d)::DATE AS period, sum(CASE WHEN d >= DATE '1996-01-01' THEN v END) AS qe, sum(v) AS target FROM (SELECT o_orderdate::DATE AS d, o_totalprice / 1000 AS v FROM orders) GROUP BY 1)"
 
 
-@query(f"SELECT period, round(target, 4) AS target, round(qe, 4) AS qe, round(sum(target) OVER (ORDER BY period), 4) AS target_cumulative, round(CASE WHEN qe IS NOT NULL THEN sum(qe) OVER (ORDER BY period) END, 4) AS qe_cumulative FROM {_EVENTS}")
+@query(f"SELECT period, round(target, 6) AS target, round(qe, 6) AS qe, round(sum(target) OVER (ORDER BY period), 6) AS target_cumulative, round(CASE WHEN qe IS NOT NULL THEN sum(qe) OVER (ORDER BY period) END, 6) AS qe_cumulative FROM {_EVENTS}")
 def event_to_quarter(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey % 5 = 0").select(F.to_date("o_orderdate").alias("d"), (F.col("o_totalprice") / 1000).alias("target"))
-    e = o.withColumn("qe", F.when(F.col("d") >= "1996-01-01", F.col("target")))
-    out = ordered.events_by_quarter(e, "d", ["target", "qe"])
-    return out.select("period", *[F.round(c, 4).alias(c) for c in ("target", "qe", "target_cumulative", "qe_cumulative")])
-
-
-_EVENTS_WHOLE = "(SELECT date_trunc('quarter', d)::DATE AS period, sum(CASE WHEN d >= DATE '1996-01-01' THEN v END) AS qe, sum(v) AS target FROM (SELECT o_orderdate::DATE AS d, o_totalprice / 1000 AS v FROM orders) GROUP BY 1)"
-
-
-@query(f"SELECT period, round(target, 6) AS target, round(qe, 6) AS qe, round(sum(target) OVER (ORDER BY period), 6) AS target_cumulative, round(CASE WHEN qe IS NOT NULL THEN sum(qe) OVER (ORDER BY period) END, 6) AS qe_cumulative FROM {_EVENTS_WHOLE}")
-def event_to_quarter_whole(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d"), (F.col("o_totalprice") / 1000).alias("target"))
     e = o.withColumn("qe", F.when(F.col("d") >= "1996-01-01", F.col("target")))
     out = ordered.events_by_quarter(e, "d", ["target", "qe"])
     return out.select("period", *[r6(F.col(c)).alias(c) for c in ("target", "qe", "target_cumulative", "qe_cumulative")])
 
 
-_P = "(SELECT c_mktsegment AS k, c_custkey AS i, (c_custkey % 97) / 500.0::DOUBLE AS p FROM customer WHERE c_custkey <= 60)"
+_P = "(SELECT c_mktsegment AS k, c_custkey AS i, (c_custkey % 97) / 500.0::DOUBLE AS p FROM customer)"
 
 
 @query(f"SELECT k, i, p, round(max(s) OVER (PARTITION BY k ORDER BY p, i ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM (SELECT *, least(1.0::DOUBLE, (count(*) OVER (PARTITION BY k) - row_number() OVER (PARTITION BY k ORDER BY p, i) + 1) * p) AS s FROM {_P})")
 def holm_adjust(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 60").select(F.col("c_mktsegment").alias("k"), F.col("c_custkey").alias("i"), (F.col("c_custkey") % 97 / F.lit(500.0)).alias("p"))
-    out = ordered.holm(c.select("i", "k", "p"), "p", ["k"])
-    return out.select("k", "i", "p", F.round("p_holm", 9).alias("p_holm"))
-
-
-_P_WHOLE = "(SELECT c_mktsegment AS k, c_custkey AS i, (c_custkey % 97) / 500.0::DOUBLE AS p FROM customer)"
-
-
-@query(f"SELECT k, i, p, round(max(s) OVER (PARTITION BY k ORDER BY p, i ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM (SELECT *, least(1.0::DOUBLE, (count(*) OVER (PARTITION BY k) - row_number() OVER (PARTITION BY k ORDER BY p, i) + 1) * p) AS s FROM {_P_WHOLE})")
-def holm_adjust_whole(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.col("c_mktsegment").alias("k"), (F.col("c_custkey") % 97 / F.lit(500.0)).alias("p"))
     return ordered.holm(c, "p", ["k"]).select("k", "i", "p", F.round("p_holm", 9).alias("p_holm"))
 

@@ -63,18 +63,9 @@ def inner_suffix_join(spark, sf_dir):
     return relational.join_suffixed(a, b, ["o_custkey"], ("_urgent", "_low"))
 
 
-@query("""SELECT coalesce(a.d, b.d, c.d) AS d, a.n AS n_orders, b.n AS n_shipped, c.n AS n_events FROM (SELECT o_orderdate::DATE AS d, count(*)::BIGINT AS n FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1) a
- FULL JOIN (SELECT l_shipdate::DATE AS d, count(*)::BIGINT AS n FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1) b ON a.d = b.d FULL JOIN (SELECT ts::DATE AS d, count(*)::BIGINT AS n FROM events GROUP BY 1) c ON coalesce(a.d, b.d) = c.d""")
-def full_outer_align(spark, sf_dir):
-    def daily(name, at, n, where="true"):
-        return table(spark, sf_dir, name).where(where).groupBy(F.to_date(at).alias("d")).agg(F.count("*").alias(n))
-
-    return relational.align([daily("orders", "o_orderdate", "n_orders", "o_custkey % 2 = 0"), daily("lineitem", "l_shipdate", "n_shipped", "l_partkey % 3 = 0"), daily("events", "ts", "n_events")], "d")
-
-
 @query("""SELECT coalesce(a.d, b.d, c.d) AS d, a.n AS n_orders, b.n AS n_shipped, c.n AS n_events FROM (SELECT o_orderdate::DATE AS d, count(*)::BIGINT AS n FROM orders GROUP BY 1) a
  FULL JOIN (SELECT l_shipdate::DATE AS d, count(*)::BIGINT AS n FROM lineitem GROUP BY 1) b ON a.d = b.d FULL JOIN (SELECT ts::DATE AS d, count(*)::BIGINT AS n FROM events GROUP BY 1) c ON coalesce(a.d, b.d) = c.d""")
-def full_outer_align_whole(spark, sf_dir):
+def full_outer_align(spark, sf_dir):
     def daily(name, at, n):
         return table(spark, sf_dir, name).groupBy(F.to_date(at).alias("d")).agg(F.count("*").alias(n))
 
@@ -236,32 +227,30 @@ def chained_join(spark, sf_dir):
     return j.groupBy("n_name", ordered.month_label(F.col("o_orderdate")).alias("month")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-def _scalars(p):
-    key = F.col("o_orderkey")
-    return p.select("o_orderkey", r6(scalars.clip(F.col("o_totalprice") / 290001, 0.0, 1.0)).alias("clipped"), scalars.round_even(key / F.lit(2.0)).cast("long").alias("halves"), scalars.signed(F.col("outl")).alias("sign"), scalars.mapped(F.col("o_custkey") % 3, {0: "zero", 1: "one"}, "other").alias("name"), scalars.row_sum([F.col("att"), F.col("outl"), F.col("att_b")]).alias("total"), scalars.contained(F.lit("7"), key.cast("string")).alias("has_seven"), scalars.shift_quarters(F.col("d"), -1).alias("before"))
-
-
 @query("""SELECT o_orderkey, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, o_totalprice / 290001)), 6) AS clipped, round_even(o_orderkey / 2.0::DOUBLE, 0)::BIGINT AS halves, printf('%+d', outl) AS sign, CASE o_custkey % 3 WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'other' END AS name,
- (att + outl + att_b)::INT AS total, contains(o_orderkey::VARCHAR, '7') AS has_seven, (date_trunc('quarter', d) - INTERVAL 3 MONTH)::DATE AS before FROM """ + PANEL_SQL + " WHERE o_orderkey <= 5000")
+ (att + outl + att_b)::INT AS total, contains(o_orderkey::VARCHAR, '7') AS has_seven, (date_trunc('quarter', d) - INTERVAL 3 MONTH)::DATE AS before FROM """ + PANEL_SQL)
 def scalar_functions(spark, sf_dir):
-    return _scalars(panel(spark, sf_dir).where("o_orderkey <= 5000"))
+    p = panel(spark, sf_dir)
+    key = F.col("o_orderkey")
+    return p.select("o_orderkey", r6(scalars.clip(F.col("o_totalprice") / 290001, 0.0, 1.0)).alias("clipped"), scalars.round_even(key / F.lit(2.0)).cast("long").alias("halves"), scalars.signed(F.col("outl")).alias("sign"), scalars.mapped(F.col("o_custkey") % 3, {0: "zero", 1: "one"}, "other").alias("name"), scalars.row_sum([F.col("att"), F.col("outl"), F.col("att_b")]).alias("total"), scalars.contained(F.lit("7"), key.cast("string")).alias("has_seven"), scalars.shift_quarters(F.col("d"), -1).alias("before"))
 
 
-@query("""SELECT o_orderkey, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, o_totalprice / 290001)), 6) AS clipped, round_even(o_orderkey / 2.0::DOUBLE, 0)::BIGINT AS halves, printf('%+d', outl) AS sign, CASE o_custkey % 3 WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'other' END AS name,
- (att + outl + att_b)::INT AS total, contains(o_orderkey::VARCHAR, '7') AS has_seven, (date_trunc('quarter', d) - INTERVAL 3 MONTH)::DATE AS before FROM """ + PANEL_SQL)
-def scalar_functions_whole(spark, sf_dir):
-    return _scalars(panel(spark, sf_dir))
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority DESC NULLS LAST, o_totalprice NULLS FIRST, o_orderkey NULLS FIRST)::BIGINT AS place FROM orders")
+def mixed_sort(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return panels.placed(o, [F.desc("o_orderpriority"), F.asc("o_totalprice"), F.asc("o_orderkey")]).drop("o_totalprice")
 
 
-@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey LIMIT 30")
-def mixed_sort(spark, sf_dir):
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderpriority"), "o_totalprice", "o_orderkey").limit(30).select("o_orderkey", "o_orderpriority")
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC NULLS LAST, c_custkey LIMIT 25")
+def largest_magnitudes(spark, sf_dir):
+    """A top-k report."""
+    return relational.by_magnitude(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").limit(25)
 
 
-@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority DESC NULLS LAST, o_totalprice NULLS FIRST, o_orderkey NULLS FIRST)::BIGINT AS place FROM orders")
-def mixed_sort_whole(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    return panels.placed(o, [F.desc("o_orderpriority"), F.asc("o_totalprice"), F.asc("o_orderkey")]).drop("o_totalprice")
+@query("SELECT p, round(quantile_cont(o_totalprice, p), 6) AS v FROM orders, (SELECT unnest([0.0::DOUBLE, 0.1, 0.5, 0.999, 1.0]) AS p) GROUP BY p".replace("quantile_cont(o_totalprice, p)", "CASE p " + " ".join(f"WHEN {p} THEN quantile_cont(o_totalprice, {p})" for p in (0.0, 0.1, 0.5, 0.999, 1.0)) + " END"))
+def quantiles_by_rank(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return spark.createDataFrame([(p, relational.quantile(o, "o_totalprice", p)) for p in (0.0, 0.1, 0.5, 0.999, 1.0)], "p double, v double").select("p", r6(F.col("v")).alias("v"))
 
 
 @query("SELECT o_custkey, bool_or(o_orderstatus = 'F') AS any_final, bool_and(o_totalprice > 50000) AS all_large, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS dearest, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS cheapest FROM orders GROUP BY 1")

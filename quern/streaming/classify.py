@@ -10,13 +10,14 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coders, lexicon
-from ..sources import sinks
+from ..sources import shared, sinks
 
 
 class Transient(Exception):
@@ -68,12 +69,19 @@ JSON_SCHEMA = {
 }
 
 
+@cache
+def _patterns() -> tuple[dict, dict]:
+    topics = {k: lexicon.python_pattern(terms) for k, terms in lexicon.TOPIC_TERMS.items()}
+    return topics, {k: {side: lexicon.python_pattern(terms) for side, terms in sides.items()} for k, sides in lexicon.DIRECTION_TERMS.items()}
+
+
 def offline(prompt: str) -> str:
     """The dictionary as a classifier: attention where a topic's terms occur, outlook by the sign of its directions."""
     names = {"inflation": "inflation", "growth": "growth", "financial_stability": "financial_stability", "uncertainty": "uncertainty"}
-    out = {f"{v}_attention": int(bool(lexicon.python_pattern(lexicon.TOPIC_TERMS[k]).search(prompt))) for k, v in names.items()}
-    for k, sides in lexicon.DIRECTION_TERMS.items():
-        net = len(lexicon.python_pattern(sides["up"]).findall(prompt)) - len(lexicon.python_pattern(sides["down"]).findall(prompt))
+    topics, directions = _patterns()
+    out = {f"{v}_attention": int(bool(topics[k].search(prompt))) for k, v in names.items()}
+    for k, sides in directions.items():
+        net = len(sides["up"].findall(prompt)) - len(sides["down"].findall(prompt))
         out[f"{k}_outlook"] = (net > 0) - (net < 0) if out[f"{k}_attention"] else 0
     return json.dumps(out)
 
@@ -111,7 +119,7 @@ def pending(rows: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
 
 
 def resume(rows: DataFrame, prompt: str, key: str, signals: str, errors: str, **options) -> int:
-    """Classifies what is left and appends it; returns how many rows were tried. Results are written once and read back, so no call is made twice."""
+    """Classifies what is left and appends it; returns how many rows were tried. Results, errors among them, are written once to the shared folder and told apart from there, so no call is made twice, even if an executor is lost."""
     spark = rows.sparkSession
     try:
         done = spark.read.parquet(signals)
@@ -119,15 +127,12 @@ def resume(rows: DataFrame, prompt: str, key: str, signals: str, errors: str, **
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = None
-    results = classify(pending(rows, done, key), prompt, **options).persist()
-    try:
-        n = results.count()
-        good, bad = split(results)
-        if n:
-            sinks.append(good, signals)
-            sinks.append(bad, errors)
-    finally:
-        results.unpersist()
+    results = shared.saved(classify(pending(rows, done, key), prompt, **options), "classified")
+    n = results.count()
+    good, bad = split(results)
+    if n:
+        sinks.append(good, signals)
+        sinks.append(bad, errors)
     return n
 
 
