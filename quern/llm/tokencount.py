@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import store, tokens
 
 #: Ids looked through at a time, and ids in a written file, about.
-BLOCK_IDS, FILE_TOKENS = 1 << 16, 4 << 20
+BLOCK_IDS, FILE_TOKENS = 1 << 16, 1 << 20
 COUNTS = "file string, ordinal long, start long, n_tokens long, complete boolean"
 
 
