@@ -177,7 +177,7 @@ def counted(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             for i, j in textscan.pieces(batch.column(0)):
                 total += np.bincount(cell(scan(batch.column(0).slice(i, j - i)).hashes(1)), minlength=CELLS)
         at = np.flatnonzero(total)
@@ -227,7 +227,7 @@ def matched(docs: DataFrame, index: Index, keep: list[str], every: bool) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             texts = batch.column(batch.schema.get_field_index("text"))
             for i, j in textscan.pieces(texts):
                 words = scan(texts.slice(i, j - i))

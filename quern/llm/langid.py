@@ -226,7 +226,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rate", T.DoubleType()), T.StructField("strange", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             for i, j in textscan.pieces(batch.column(1), 4 << 20):
                 part = batch.slice(i, j - i)
                 lang, score, rate, odd = predict(part.column(1), shared.value)

@@ -127,7 +127,7 @@ def smallest(group: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 def dealt(docs: DataFrame, min_docs: int, buckets: int, min_tokens: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j in textscan.pieces(batch.column(1), 4 << 20):
                 found = [lines_of(batch.column(1).slice(a + i, b - a), min_tokens) for a, b in textscan.pieces(batch.column(1).slice(i, j - i))]
@@ -201,7 +201,7 @@ def known_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, i
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * store.shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES + 1)
-    return dealt(rows, min_docs, buckets, min_tokens).groupBy("bucket").applyInArrow(lambda t: recurring(t, min_docs, same), KNOWN)
+    return dealt(rows, min_docs, buckets, min_tokens).groupBy("bucket").applyInArrow(textscan.by_group(lambda t: recurring(t, min_docs, same)), KNOWN)
 
 
 def _cut(text: str, gone: set[int]) -> str:
@@ -223,7 +223,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keepers = shared.value
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             for i, j in textscan.pieces(batch.column(1)):
                 part = batch.slice(i, j - i)
                 texts, ids = part.column(1), part.column(2).to_pylist()
@@ -254,7 +254,7 @@ def _joined(packed: DataFrame, known: DataFrame, min_tokens: int) -> DataFrame:
     """The same where recurring lines are too many to broadcast: lines meet them by hash, documents their lost lines by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in textscan.pieces(batch.column(1)):
                 own = lines_of(batch.column(1).slice(i, j - i), min_tokens)
@@ -267,7 +267,7 @@ def _joined(packed: DataFrame, known: DataFrame, min_tokens: int) -> DataFrame:
     schema = T.StructType([*packed.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             for k in range(len(batch)):
                 part = batch.slice(k, 1)
                 texts, text, lines = part.column(2), part.column(2)[0].as_py(), part.column(3)[0].as_py()

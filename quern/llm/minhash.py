@@ -155,7 +155,7 @@ def described(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
     width = -(-max(COORDINATES, bands * rows) // 32) * 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             for i, j in textscan.pieces(batch.column(1)):
                 words = scan(batch.column(1).slice(i, j - i))
                 h1, n = words.hashes(1), j - i
@@ -210,7 +210,7 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     schema = "a long, b long, s double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             for i, j in textscan.pieces(batch.column(2), 1 << 20):
                 part = batch.slice(i, j - i)
                 for k in range(0, len(part), 256):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import store, tokens
+from . import store, textscan, tokens
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -41,7 +41,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0,
     arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())][: len(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             keys, texts = batch.column(0), batch.column(1)
             for i, j, flat, offsets in tokens.encoded(texts, path):
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -147,7 +147,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, salt_rows: int | None = None)
         p = shared.value
         step = int(p[:, 1].max(initial=0)) + 1
         starts = p[:, 0].astype(object) * step + p[:, 1] if step > 1 << 50 else p[:, 0] * step + p[:, 1]
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
             row = p[np.searchsorted(starts, length * step + np.minimum(rank, step - 1), "right") - 1]
             ahead = rank - row[:, 1]

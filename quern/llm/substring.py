@@ -153,7 +153,7 @@ def long_enough(words: textscan.Words) -> bool:
 
 def anchors(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             ids, kinds, hs, ds, vs, ps = *(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2)), [], [], [], []
             for i, j in textscan.pieces(batch.column(1)):
                 words = textscan.scan(batch.column(1).slice(i, j - i))
@@ -201,7 +201,7 @@ def windows(docs: DataFrame, buckets: int) -> DataFrame:
     """Windows around the shared anchors (``pos``) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             batch = batch.filter(batch.column(3).is_valid())
             ids, kinds, found, parts = *(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2)), batch.column(3), []
             for i, j in textscan.pieces(batch.column(1)):
@@ -251,7 +251,7 @@ def kept_words(docs: DataFrame) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             found = batch.column(3)
             for i, j in textscan.pieces(batch.column(1), 8 << 20):
                 texts = batch.column(1).slice(i, j - i)
@@ -290,8 +290,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     buckets = max(2 * store.shuffle_partitions(docs.sparkSession), (size or 0) // BUCKET_BYTES + 1)
 
     def gathered(dealt: DataFrame, settle) -> DataFrame:
-        found = dealt.groupBy("bucket").applyInArrow(lambda table: settle(table, -(-buckets // GATHERED)), FOUND)
-        return found.groupBy("bucket").applyInArrow(by_row, PLACES)
+        found = dealt.groupBy("bucket").applyInArrow(textscan.by_group(lambda table: settle(table, -(-buckets // GATHERED))), FOUND)
+        return found.groupBy("bucket").applyInArrow(textscan.by_group(by_row), PLACES)
 
     key = ["doc_id", "variant"]
     shared = gathered(anchors(docs.where("doc_id is not null"), buckets), shared_anchors)

@@ -8,7 +8,8 @@ second, independent hash makes 128 bits where equality has to be trusted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -123,6 +124,38 @@ def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library than glibc
+    _trim = None
+
+
+def release() -> None:
+    """Gives the memory of freed arrays back to the system; workers are kept between tasks, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with memory released behind each."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
+def by_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``f`` with memory released behind each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        release()
+        return out
+
+    return run
+
+
 def pieces(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``size`` bytes of text, one row at least."""
     _, offsets = string_bytes(texts)

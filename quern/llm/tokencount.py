@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import store, tokens
+from . import store, textscan, tokens
 
 #: Ids looked through at a time, and ids in a written file, about.
 BLOCK_IDS, FILE_TOKENS = 1 << 16, 1 << 20
@@ -59,7 +59,7 @@ def write(docs: DataFrame, to: str, path: str, end_id: int = 49407, width: int =
             values = [end.join(held), b"".join(named)]
             return pa.record_batch([pa.array([0, 1], pa.int32()), pa.array([seq, seq]), pa.array(values, pa.binary())], schema=schema)
 
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             names = batch.column(0)
             ids = np.column_stack([names.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), names.fill_null(0).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)]) if len(batch) else None
             for i, _, flat, offsets in tokens.encoded(batch.column(1), path, ordinary=True):
@@ -116,7 +116,7 @@ def count(spark: SparkSession, folder: str, end_id: int = 49407, width: int = 2,
     files = files.where("kind = 0") if "kind" in files.columns else files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 start, size, left = scan_ids(raw.as_buffer(), end_id, width, block)
                 n = len(start)
@@ -153,7 +153,7 @@ def count_documents(spark: SparkSession, folder: str, end_id: int = 49407, width
     """``count`` of files that ``write`` has written, as one stream, with each document's doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.in_turn(batches):
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.frombuffer(raw.as_buffer(), np.uint8)
                 own = own[: len(own) - width].reshape(-1, 9)  # the sink's separator stands behind the last

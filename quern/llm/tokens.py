@@ -41,12 +41,19 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.kept: dict[int, int] = {}
-        self.pool: list[np.ndarray] = []
+        self.kept = np.zeros(0, np.uint64)  # sorted hashes of words, and the words' slots
+        self.slot = np.zeros(0, np.int32)
         self.begin = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each word that is kept, or -1."""
+        if not len(self.kept):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.kept, keys), len(self.kept) - 1)
+        return np.where(self.kept[at] == keys, self.slot[at], -1).astype(np.int64)
+
     def _new(self, words: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -63,26 +70,26 @@ class WordEncoder:
         first[codes[::-1]] = np.arange(len(codes))[::-1]
         if len(self.kept) + len(distinct) > KEPT_WORDS:
             self._reset()
-        keys = distinct.tolist()
-        slot = np.fromiter((self.kept.get(k, -1) for k in keys), np.int64, len(keys))
+        slot = self._slots(distinct)
         missing = np.flatnonzero(slot < 0)
         if len(missing):
             at = first[missing]
             got = self._new([words.word(i).decode("utf-8", "replace") for i in at])
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            sizes = np.fromiter(map(len, got), np.int32, len(got))
             slot[missing] = len(self.size) + np.arange(len(missing))
-            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes])
             self.size = np.concatenate([self.size, sizes])
             self.ids = np.concatenate([self.ids, *got])
-            for m, i in zip(missing.tolist(), at.tolist(), strict=True):
-                if words.ends[i] - words.starts[i] <= KEPT_BYTES:
-                    self.kept[keys[m]] = int(slot[m])
+            short = missing[words.ends[at] - words.starts[at] <= KEPT_BYTES]
+            short = short[np.argsort(distinct[short])]
+            to = np.searchsorted(self.kept, distinct[short])
+            self.kept, self.slot = np.insert(self.kept, to, distinct[short]), np.insert(self.slot, to, slot[short])
         which = slot[codes]
-        sizes = self.size[which]
+        sizes = self.size[which].astype(np.int64)
         ends = np.cumsum(sizes)
         out = self.ids[np.repeat(self.begin[which] - (ends - sizes), sizes) + np.arange(ends[-1])]
         offsets = np.concatenate([[0], ends])[words.first]
-        if len(self.ids) > 16 * KEPT_WORDS:
+        if len(self.ids) > 6 * KEPT_WORDS:
             self._reset()
         return out, offsets
 
@@ -100,5 +107,5 @@ def encoder(path: str, ordinary: bool = False) -> WordEncoder:
 def encoded(texts: pa.Array, path: str, ordinary: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of ``texts`` with their flat ids and offsets, a few MB of text at a time."""
     enc = encoder(path, ordinary)
-    for i, j in textscan.pieces(texts, 4 << 20):
+    for i, j in textscan.pieces(texts):
         yield i, j, *enc.encode(texts.slice(i, j - i))
