@@ -77,6 +77,20 @@ def exact_intervals(df: DataFrame, k: str, n: str, low: str, high: str) -> DataF
     return out.withColumns({low: F.nullif(F.col("_ci.low"), F.lit(float("nan"))), high: F.nullif(F.col("_ci.high"), F.lit(float("nan")))}).drop("_ci")
 
 
+def rate_table(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """By variable, candidate a against reference b, both 0 or 1: sensitivity and specificity with exact intervals, the coded share,
+    the share corrected by the rates, and its least and greatest at the corners of the two intervals that tell something."""
+    from . import measures
+
+    c = confusion(pairs, by).withColumnRenamed("recall", "sensitivity").withColumns({"n_true_one": F.col("tp") + F.col("fn"), "n_true_zero": F.col("tn") + F.col("fp")})
+    c = exact_intervals(exact_intervals(c, "tp", "n_true_one", "sens_low", "sens_high"), "tn", "n_true_zero", "spec_low", "spec_high")
+    c = c.withColumn("coded_share", F.try_divide((F.col("tp") + F.col("fp")).cast("double"), F.col("n_true_one") + F.col("n_true_zero")))
+    bounds = measures.corner_bounds(F.col("coded_share"), (F.col("sens_low"), F.col("sens_high")), (F.col("spec_low"), F.col("spec_high")))
+    c = c.withColumns({"corrected": measures.corrected(F.col("coded_share"), F.col("sensitivity"), F.col("specificity")), "corrected_low": bounds["low"], "corrected_high": bounds["high"]})
+    rates = ["sensitivity", "sens_low", "sens_high", "specificity", "spec_low", "spec_high", "coded_share", "corrected", "corrected_low", "corrected_high"]
+    return c.select(*(by or ["variable"]), "n_true_one", "n_true_zero", *rates)
+
+
 def outlook_errors(wide: DataFrame, att: tuple[str, str], out: tuple[str, str], id_col: str, strict_reversal: bool = True) -> DataFrame:
     """What outlook disagreements are: forced by attention, independent of it, a direction against neutral, reversed signs. Their ids are in ``outlook_error_rows``.
 

@@ -75,6 +75,20 @@ def correlation_rows(df: DataFrame, by: list[str], expected: dict[str, int] | No
     return out.withColumn("stars", stars(F.col("p_value")))
 
 
+def with_reliability(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Correlation rows with the reliability that an earlier table gives their measure; null where it has none."""
+    from . import quality
+
+    return rows.join(quality.require_unique(stored, keys).select(*keys, "reliability"), keys, "left")
+
+
+def alternative_specs(df: DataFrame, t: str, measure: str, baseline: str, alternatives: list[str], min_lags: int = 0) -> DataFrame:
+    """The measure against a baseline series and others in its place: each correlation next to the baseline's, with their difference and whether the sign holds."""
+    each = correlations(stack(df, t, [(measure, y) for y in [baseline, *alternatives]]), ["spec"], min_lags)
+    own = each.where(F.col("spec") == f"{measure}~{baseline}").select(F.col("correlation").alias("baseline"))
+    return each.crossJoin(F.broadcast(own)).withColumns({"difference": F.col("correlation") - F.col("baseline"), "same_sign": F.signum("correlation") == F.signum("baseline")})
+
+
 def stars(p: Column) -> Column:
     return F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.10, "*").otherwise("")
 

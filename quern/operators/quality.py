@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +18,18 @@ def require(ok: bool, what: str) -> None:
         raise GateError(what)
 
 
+def outcomes(spark: SparkSession, gates: dict[str, Callable[[], object]]) -> DataFrame:
+    """gate, passed: each of the gates tried in turn, for a report on all of them. Other errors than a gate's go through."""
+    rows = []
+    for name, gate in gates.items():
+        try:
+            gate()
+            rows.append((name, True))
+        except GateError:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "gate string, passed boolean")
+
+
 def require_columns(df: DataFrame, names: list[str], exact: bool = False) -> DataFrame:
     missing, extra = sorted(set(names) - set(df.columns)), sorted(set(df.columns) - set(names))
     require(not missing and not (exact and extra), f"missing columns {missing}, unexpected columns {extra if exact else []}")

@@ -52,7 +52,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register() -> None:
-    from . import q_agreement, q_kernels, q_measures, q_ordered, q_relational, q_text  # noqa: F401
+    from . import q_agreement, q_gates, q_kernels, q_measures, q_ordered, q_points, q_relational, q_text  # noqa: F401
 
 
 _register()

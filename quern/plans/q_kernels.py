@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import agreement, inference, ordered
 from .catalogue import panel, query, r6, table
 
-_MONTHS = "(SELECT date_trunc('month', o_orderdate)::DATE AS t, avg(o_totalprice) AS p, count(*)::DOUBLE AS n, avg((o_orderstatus = 'F')::INT::DOUBLE) AS f FROM orders GROUP BY 1)"
+MONTHS_SQL = "(SELECT date_trunc('month', o_orderdate)::DATE AS t, avg(o_totalprice) AS p, count(*)::DOUBLE AS n, avg((o_orderstatus = 'F')::INT::DOUBLE) AS f FROM orders GROUP BY 1)"
 
 
 def months(spark, sf_dir):
@@ -15,28 +15,28 @@ def months(spark, sf_dir):
     return o.groupBy(F.to_date(F.trunc(F.to_date("o_orderdate"), "month")).alias("t")).agg(F.avg("o_totalprice").alias("p"), F.count("*").cast("double").alias("n"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("f"))
 
 
-def _stacked(spark, sf_dir):
+def stacked(spark, sf_dir):
     return inference.stack(months(spark, sf_dir), "t", [("p", "n"), ("p", "f"), ("n", "f")])
 
 
-@query(f"SELECT spec, round(r, 6) AS correlation, n_obs, floor(4 * pow(n_obs / 100.0::DOUBLE, 2.0::DOUBLE / 9))::INT AS lags FROM (SELECT 'p~n' AS spec, corr(p, n) AS r, count(*)::INT AS n_obs FROM {_MONTHS} UNION ALL SELECT 'p~f', corr(p, f), count(*)::INT FROM {_MONTHS} UNION ALL SELECT 'n~f', corr(n, f), count(*)::INT FROM {_MONTHS})")
+@query(f"SELECT spec, round(r, 6) AS correlation, n_obs, floor(4 * pow(n_obs / 100.0::DOUBLE, 2.0::DOUBLE / 9))::INT AS lags FROM (SELECT 'p~n' AS spec, corr(p, n) AS r, count(*)::INT AS n_obs FROM {MONTHS_SQL} UNION ALL SELECT 'p~f', corr(p, f), count(*)::INT FROM {MONTHS_SQL} UNION ALL SELECT 'n~f', corr(n, f), count(*)::INT FROM {MONTHS_SQL})")
 def corr_point(spark, sf_dir):
-    return inference.correlations(_stacked(spark, sf_dir), ["spec"]).select("spec", r6(F.col("correlation")).alias("correlation"), "n_obs", "lags")
+    return inference.correlations(stacked(spark, sf_dir), ["spec"]).select("spec", r6(F.col("correlation")).alias("correlation"), "n_obs", "lags")
 
 
 @query()
 def corr_hac(spark, sf_dir):
-    return inference.correlations(_stacked(spark, sf_dir), ["spec"])
+    return inference.correlations(stacked(spark, sf_dir), ["spec"])
 
 
 @query()
 def block_bootstrap(spark, sf_dir):
-    return inference.correlation_rows(_stacked(spark, sf_dir), ["spec"], {"p~n": 1, "p~f": -1, "n~f": 1})
+    return inference.correlation_rows(stacked(spark, sf_dir), ["spec"], {"p~n": 1, "p~f": -1, "n~f": 1})
 
 
 @query()
 def alternative_inference(spark, sf_dir):
-    return inference.alternative_inference(_stacked(spark, sf_dir), ["spec"])
+    return inference.alternative_inference(stacked(spark, sf_dir), ["spec"])
 
 
 @query()
@@ -78,7 +78,7 @@ def partial_corr(spark, sf_dir):
 
 @query()
 def factor_assessment(spark, sf_dir):
-    return inference.factor_assessment(_stacked(spark, sf_dir), ["spec"])
+    return inference.factor_assessment(stacked(spark, sf_dir), ["spec"])
 
 
 @query()
@@ -91,9 +91,9 @@ def bandwidth_sensitivity(spark, sf_dir):
     return inference.bandwidth_sensitivity(inference.pairs(months(spark, sf_dir), "p", "n", "t"), [0, 1, 2, 3, 4, 6, 8])
 
 
-@query(f"SELECT count(*) FILTER (s > 0)::BIGINT AS positive, count(*)::BIGINT AS n FROM (SELECT corr(p, n) AS s FROM {_MONTHS} UNION ALL SELECT corr(p, f) FROM {_MONTHS} UNION ALL SELECT corr(n, f) FROM {_MONTHS})")
+@query(f"SELECT count(*) FILTER (s > 0)::BIGINT AS positive, count(*)::BIGINT AS n FROM (SELECT corr(p, n) AS s FROM {MONTHS_SQL} UNION ALL SELECT corr(p, f) FROM {MONTHS_SQL} UNION ALL SELECT corr(n, f) FROM {MONTHS_SQL})")
 def sign_counts(spark, sf_dir):
-    c = inference.correlations(_stacked(spark, sf_dir), ["spec"]).withColumn("up", F.col("correlation") > 0)
+    c = inference.correlations(stacked(spark, sf_dir), ["spec"]).withColumn("up", F.col("correlation") > 0)
     return inference.sign_test(c, "up").select("positive", "n")
 
 
@@ -106,4 +106,4 @@ def construct_check(spark, sf_dir):
 
 @query()
 def holm_count(spark, sf_dir):
-    return inference.holm_count(inference.correlations(_stacked(spark, sf_dir), ["spec"]), "p_value")
+    return inference.holm_count(inference.correlations(stacked(spark, sf_dir), ["spec"]), "p_value")

@@ -92,7 +92,14 @@ def attending_openings(spark, sf_dir):
     return agreement.code_attention(d, "s", 0.3, "att").where("s > 0").select("doc_id", "att", F.sha2(F.array_join(F.slice(words, 1, 5), " "), 256).alias("opening"))
 
 
-@query()
+_OUTLOOK = _NET + f""", own2 AS (SELECT doc_id, s, coalesce(tone, 0) AS tone FROM {_DENSITIES} LEFT JOIN t USING (doc_id)), c AS (SELECT *, s > (SELECT quantile_cont(s, 0.7) FROM own2) AS a FROM own2),
+ k AS (SELECT avg(a::INT::DOUBLE) AS share, count(*) FILTER (a) AS m FROM c), p AS (SELECT 0.8::DOUBLE - (1 - share) AS gap, (m - 1) * least((0.8::DOUBLE - (1 - share)) / share, 1.0::DOUBLE) AS pos FROM k),
+ r AS (SELECT abs(tone) AS v, row_number() OVER (ORDER BY abs(tone)) - 1 AS i FROM c WHERE a),
+ band AS (SELECT CASE WHEN max(gap) <= 0 THEN 0.0::DOUBLE ELSE max(CASE WHEN i = floor(pos) THEN v END) + (max(pos) - floor(max(pos))) * (max(CASE WHEN i = ceil(pos) THEN v END) - max(CASE WHEN i = floor(pos) THEN v END)) END AS band FROM r, p)
+ SELECT doc_id, a::INT AS att, (CASE WHEN a AND abs(tone) > band THEN sign(tone) ELSE 0 END)::INT AS outl FROM c, band"""
+
+
+@query(_OUTLOOK)
 def outlook_codes(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("lang = 'en'")
     d = d.select("doc_id", text.density(F.col("text"), TOPIC).alias("s"), text.tone(F.col("text"), TOPIC, UP, DOWN, NEGATORS)["tone"].alias("tone")).persist()
