@@ -63,7 +63,7 @@ COORDINATES, AGREEING = 384, 0.714
 BLOCK_ROWS, FIRST_PAIRS = 1024, 4
 #: Two bits of each dart are compared first. Fewer agree once in 70,000 pairs of similarity 0.8 (where 0.85 of them do).
 AGREEING_BITS = 0.774
-#: Rows of candidates (three numbers each) that may be broadcast to find their texts; more are joined by a shuffle.
+#: Rows of a few numbers each (candidates, pairs, shared bands) that may be broadcast to find their texts and signatures; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 #: The lowest strip of ranks ends at 2**BASE; each further one doubles that.
 BASE = -6
@@ -205,8 +205,13 @@ def similarity(a: pa.Array, b: pa.Array, size: int = SHINGLE) -> np.ndarray:
     return (both - apart) / np.maximum(both + apart, 1)  # sum of min over sum of max
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` of a saved table, for a join with a wider one: broadcast unless there are too many."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """``pairs`` (a, b) with their similarity."""
+    """``pairs`` (a, b; a saved table) with their similarity."""
     schema = "a long, b long, s double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +223,8 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     yield pa.record_batch([own.column(0), own.column(1), pa.array(similarity(own.column(2), own.column(3), size))], names=["a", "b", "s"])
 
     ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, schema)
+    tb = tb.join(few(store.saved(pairs.select("b").distinct(), "minhash-asked")), "b", "left_semi")  # texts that no pair asks for stay where they are
+    return few(pairs).join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -235,13 +241,13 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def unsettled(members: DataFrame, label: DataFrame, heads: DataFrame, near: DataFrame) -> DataFrame:
+def unsettled(members: DataFrame, label: DataFrame, signed: DataFrame, near: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one class, with class, size, bands, sketch and similarities to their buckets' heads."""
     known = members.join(label, members["node"] == label["id"], "left").select("band", "v", "node", F.coalesce("class", "node").alias("class"))
     known = store.saved(known, "minhash-known")
     split = known.groupBy("band", "v").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band", "v", "m")
     rest = store.saved(known.join(store.saved(split, "minhash-split"), ["band", "v"]), "minhash-rest")
-    return rest.join(heads.select("node", "n", "bands", "sketch"), "node").join(near, "node")
+    return rest.join(signed, "node").join(near, "node")
 
 
 def likely(rest: DataFrame, threshold: float, agreeing: float, agreeing_bits: float, first: int | None) -> DataFrame:
@@ -329,21 +335,25 @@ def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def linked(docs: DataFrame, threshold: float, size: int, bands: int, rows: int, first_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of ``docs`` (doc_id, text, variant): each row's description, the heads (a node with its least row) and the nodes' classes (id, class)."""
+    """Of ``docs`` (doc_id, text, variant): each row's description, the heads (key, and a node with its least row) and the nodes' classes (id, class)."""
     each = store.saved(described(docs, bands, rows, size).withColumn("node", F.monotonically_increasing_id()), "minhash-signatures")
-    one = each.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "variant", "node", "n", "bands", "sketch")).alias("r")).select("key", "r.*")
+    one = each.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "variant", "node")).alias("r")).select("key", "r.*")
     heads = store.saved(one, "minhash-texts")
-    entries = heads.select(F.posexplode("bands").alias("band", "v"), "node")
-    shared = entries.groupBy("band", "v").agg(F.count("*").alias("m")).where("m > 1")
-    entries = store.saved(entries.join(store.saved(shared, "minhash-buckets"), ["band", "v"]), "minhash-entries")
+    # Signatures are wide: bands move once, and whole ones are kept apart for the nodes that share a bucket.
+    entries = store.saved(each.join(heads.select("node"), "node", "left_semi").select("node", "bands"), "minhash-bands").select(F.posexplode("bands").alias("band", "v"), "node")
+    shared = store.saved(entries.groupBy("band", "v").agg(F.count("*").alias("m")).where("m > 1"), "minhash-buckets")
+    entries = store.saved(entries.join(few(shared), ["band", "v"]), "minhash-entries")
     entries = entries.join(entries.groupBy("node").agg(F.sum("m").alias("w")), "node")
     chosen = entries.groupBy("band", "v").agg(F.max(F.struct("w", (-F.col("node")).alias("node"))).alias("r")).select("band", "v", (-F.col("r.node")).alias("head"))
     members = store.saved(entries.select("band", "v", "node").join(chosen, ["band", "v"]), "minhash-members")
     wanted = heads.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "variant", "node")
     wanted = store.saved(wanted, "minhash-wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = store.saved(docs.join(wanted, ["doc_id", "variant"]).select("node", "text").dropDuplicates(["node"]), "minhash-candidates")
-    star = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    signed = store.saved(each.select("node", "n", "bands", "sketch").join(few(wanted.select("node")), "node", "left_semi"), "minhash-signed")
+    found = docs.join(few(wanted), ["doc_id", "variant"]).select("node", "text")
+    if each.join(few(wanted.select("doc_id", "variant")), ["doc_id", "variant"], "left_semi").count() > wanted.count():  # equal rows
+        found = found.dropDuplicates(["node"])
+    texts = store.saved(found, "minhash-candidates")
+    star = store.saved(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "minhash-pairs")
     done = store.saved(compared(star, texts, size), "minhash-star")
     links = done.where(F.col("s") >= threshold).select("a", "b")
     each_head = members.join(done, (F.col("node") == F.col("a")) & (F.col("head") == F.col("b")), "left").select("node", "band", F.coalesce("s", F.lit(1.0)).cast("float").alias("s"))
@@ -352,7 +362,7 @@ def linked(docs: DataFrame, threshold: float, size: int, bands: int, rows: int,
     least = AGREEING + (threshold - THRESHOLD)
     seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()  # pairs stand with the smaller first
     for at_most in (first_pairs, None):
-        rest = unsettled(members, label, heads, near)
+        rest = unsettled(members, label, signed, near)
         more = store.saved(likely(rest, threshold, least, AGREEING_BITS + 0.75 * (threshold - THRESHOLD), at_most).distinct().join(seen, ["a", "b"], "left_anti"), "minhash-likely")
         seen = seen.union(more)
         new = store.saved(compared(more, texts, size).where(F.col("s") >= threshold).select("a", "b"), "minhash-links")

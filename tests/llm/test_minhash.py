@@ -133,6 +133,42 @@ def test_bucket_of_members_far_from_each_other(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs(spark, texts)).collect()} == brute(list(enumerate(texts)))
 
 
+def written(spark):
+    """Bytes that this session has shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    each = sc.statusStore().executorList(True)
+    return sum(each.apply(k).totalShuffleWrite() for k in range(each.size()))
+
+
+def test_signatures_stay_where_they_are(spark):
+    """In a table too large to be broadcast, a text without neighbours moves its bands, and neither its sketch nor its words."""
+    rng = random.Random(31)
+    texts = [varied(rng, 100) for _ in range(1500)]
+    texts += [edited(rng, texts[k], 1) for k in range(5)]
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        before = written(spark)
+        got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs(spark, texts)).collect()}
+        each = (written(spark) - before) / len(texts)
+    finally:
+        spark.conf.unset(key)
+    assert got == {k: k if k < 1500 else k - 1500 for k in range(len(texts))}
+    assert each < 1200, each
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_with_and_without_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", most)
+    rng = random.Random(41)
+    base = varied(rng, 100)
+    texts = [base, base.upper(), "", None] + [edited(rng, base, rng.choice([1, 2, 9])) for _ in range(8)] + [varied(rng, 60) for _ in range(8)]
+    source = docs(spark, texts)
+    got = minhash.classes(source.union(source.limit(6)).repartition(3)).collect()
+    assert len(got) == len(texts) and {r["doc_id"]: r["class_id"] for r in got} == brute(list(enumerate(texts)))
+
+
 def test_empty(spark):
     assert minhash.classes(docs(spark, ["x"]).limit(0)).collect() == []
     assert [tuple(r) for r in minhash.classes(docs(spark, ["a b c d e f"])).collect()] == [(0, 0)]
