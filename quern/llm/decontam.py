@@ -29,16 +29,17 @@ length are read whole.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import store, textscan
+from .minhash import few
 
 #: Words of items in one broadcast index: some 200 bytes each.
 BLOCK_WORDS = 1 << 20
@@ -252,6 +253,20 @@ def matched(docs: DataFrame, index: Index, keep: list[str], every: bool) -> Data
     return docs.mapInArrow(run, schema)
 
 
+def variant(text: Column | str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def found(keyed: DataFrame, blocks: Iterable[list[tuple[str, str]]], counts: np.ndarray, size: int) -> DataFrame:
+    """A row for each id and text (doc_id, variant) that one block or another hits, with spans and items."""
+    out = None
+    for block in blocks:
+        own = store.saved(matched(keyed, build(block, counts, size), ["doc_id", "variant"], False).dropDuplicates(["doc_id", "variant"]), "decontam")
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("doc_id", "variant").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # at most a row a block
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, keep_row: bool = False) -> DataFrame:
     """A row for each document: doc_id, n_words, the hit words as spans [first, end) and the item ids that occur, in order of their strings; with ``keep_row`` also the whole document as the struct ``row``."""
     row = [F.struct(*[store.column(c).alias(c) for c in docs.columns]).alias("row")] if keep_row else []
@@ -263,14 +278,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 8, id_col: str = "do
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return matched(docs, build(first, counts, size), keep, True).select("doc_id", "n_words", "spans", "items", *keep[1:])
-    # Rows that one block or another hits, known by id and text; the first block's map has every document's words.
-    variant = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("variant", variant)
-    found = None
-    for block in itertools.chain([first, second], blocks):
-        own = store.saved(matched(keyed, build(block, counts, size), ["doc_id", "variant"], False).dropDuplicates(["doc_id", "variant"]), "decontam")
-        found = own if found is None else found.unionByName(own)
-    together = found.groupBy("doc_id", "variant").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # at most a row a block
+    # The first block's map has every document's words.
+    keyed = docs.withColumn("variant", variant("text"))
+    together = found(keyed, itertools.chain([first, second], blocks), counts, size)
     none = build([], counts, size)
     words = matched(keyed, none, [*keep, "variant"], True).drop("spans", "items").withColumnsRenamed({"doc_id": "d", "variant": "v"})
     joined = words.join(together, words["d"].eqNullSafe(together["doc_id"]) & (words["v"] == together["variant"]), "left")
@@ -300,5 +310,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 8, threshold: int =
     """``docs`` without the documents that hold windows of ``threshold`` items or more; the others stay as they are.
 
     One item's window is a leak, so by default one is enough to go; ``digest`` has its own threshold.
+    Workers get ids and texts and give back those hit, so that no document stands in memory several times over.
     """
-    return hits(docs, benchmark, size, keep_row=True).where(F.size("items") < threshold).select("row.*")
+    if threshold < 1:  # any document holds that many
+        return docs.where(F.lit(False))
+    text = store.column("text").cast("string")
+    key = {"doc_id": store.column("doc_id").cast("long"), "variant": variant(text)}
+    keyed = docs.select(text.alias("text"), *[c.alias(n) for n, c in key.items()])
+    hit = found(keyed, cut(benchmark, "item_id", "text", size, BLOCK_WORDS), counted(keyed), size)
+    gone = store.saved(hit.where(F.size("items") >= threshold).select(F.col("doc_id").alias("d"), F.col("variant").alias("v")), "decontam-gone")
+    rows = docs.select(F.struct(*map(store.column, docs.columns)).alias("row"), *[c.alias(n) for n, c in key.items()])
+    return rows.join(few(gone), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("variant") == F.col("v")), "left_anti").select("row.*")

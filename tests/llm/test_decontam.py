@@ -84,6 +84,49 @@ def test_clean_keeps_columns(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in brute(texts, items, 8) if not r[3]]
 
 
+def to_and_from_workers(spark, first):
+    """Bytes that Python workers got and gave in the SQL executions from the ``first`` on."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    told, sums = spark._jsparkSession.sharedState().statusStore(), [0, 0]
+    each = told.executionsList()
+    for k in range(first, each.size()):
+        e = each.apply(k)
+        values, metrics = told.executionMetrics(e.executionId()), e.metrics()
+        for m in {metrics.apply(i).accumulatorId(): metrics.apply(i) for i in range(metrics.size())}.values():
+            side = ["data sent to Python workers", "data returned from Python workers"]
+            if m.name() in side and values.contains(m.accumulatorId()):
+                n, unit = re.search(r"([\d.]+) ([KM]?i?B)", values.apply(m.accumulatorId()).split("\n")[-1]).groups()
+                sums[side.index(m.name())] += float(n) * {"B": 1, "K": 1 << 10, "M": 1 << 20}[unit[0]]
+    return sums
+
+
+def test_clean_moves_texts_once_a_pass(spark):
+    """Workers get each text once to count words and once to match, and give no document back."""
+    rng = random.Random(9)
+    texts = [prose(rng, 300) for _ in range(400)]
+    source = docs(spark, texts)
+    items = [(0, " ".join(texts[3].split()[5:20])), (1, texts[7])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    first = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    kept = sorted(r["doc_id"] for r in decontam.clean(source, bench).collect())
+    sent, got = (x / sum(map(len, texts)) for x in to_and_from_workers(spark, first))
+    assert kept == [b[0] for b in brute(texts, items, 8) if not b[3]] and len(kept) < 400
+    assert 1.9 < sent < 2.3 and got < 0.5, (sent, got)
+
+
+def test_clean_by_blocks_and_joins(spark, monkeypatch):
+    texts, items = sample()
+    rows = [(k % 3 if k % 5 else None, t, k) for k, t in enumerate(texts)] * 2
+    source = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for n in (1, 2):
+        want = sorted(k for (_, _, k), b in zip(rows, brute(texts, items, 8) * 2, strict=True) if b[3] < n)
+        for words, most in ((decontam.BLOCK_WORDS, 1 << 20), (20, 0)):
+            monkeypatch.setattr(decontam, "BLOCK_WORDS", words)
+            monkeypatch.setattr("quern.llm.minhash.BROADCAST_ROWS", most)
+            assert sorted(r["a.b"] for r in decontam.clean(source, bench, threshold=n).collect()) == want
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_items"] for r in decontam.digest(decontam.hits(docs(spark, ["a b", None]), none)).collect()} == {0}
