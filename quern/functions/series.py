@@ -118,16 +118,21 @@ def _bartlett(scores: np.ndarray, lags: int) -> np.ndarray:
 
 def _sandwich(y: np.ndarray, x: np.ndarray, lags: int, dates: np.ndarray | None = None) -> Regression:
     n, k = x.shape
-    bread = np.linalg.inv(x.T @ x)
-    beta = bread @ x.T @ y
+    size = np.linalg.norm(x, axis=0)
+    unit = x / np.where(size > 0, size, 1.0)  # the units that regressors are measured in decide nothing
+    if np.linalg.matrix_rank(unit) < k:
+        raise ValueError("regressors are linearly dependent")
+    q, r = np.linalg.qr(unit)  # x.T @ x would square the condition
+    back = np.linalg.inv(r) / size[:, None]
+    beta = back @ (q.T @ y)
     errors = y - x @ beta
-    scores = x * errors[:, None]
+    scores = q * errors[:, None]
     if dates is not None:
         _, at = np.unique(dates, return_inverse=True)
         summed = np.zeros((at.max() + 1, k))
         np.add.at(summed, at, scores)
         scores = summed
-    variance = np.diag(bread @ _bartlett(scores, lags) @ bread) * n / (n - k)
+    variance = np.diag(back @ _bartlett(scores, lags) @ back.T) * n / (n - k)
     if not (variance > 0).all():
         raise ValueError("the kernel estimate of a variance is not positive")
     spread = float(((y - y.mean()) ** 2).sum())
@@ -145,8 +150,6 @@ def newey_west_ols(y: np.ndarray, x: np.ndarray, lags: int) -> Regression:
         raise ValueError("more parameters than observations")
     if not 0 <= lags < len(y):
         raise ValueError("bandwidth out of range")
-    if np.linalg.matrix_rank(x.T @ x) < x.shape[1]:
-        raise ValueError("regressors are linearly dependent")
     return _sandwich(y, x, lags)
 
 
