@@ -174,7 +174,7 @@ _ONCE = classify.Retry(tries=2, seconds=0.0)
 @query(f"SELECT doc_id, {_FAILED} AS error_type, CASE WHEN n % 7 > 2 THEN n % 2 END::INT AS inflation_attention, CASE WHEN n % 7 > 2 THEN n % 2 * (n % 3 - 1) END::INT AS growth_outlook FROM {_CODED}")
 def classified(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classify.classify(d, "text", _coder, _ONCE).select("doc_id", "error_type", "inflation_attention", "growth_outlook")
+    return classify.classify(d, "text", _coder, _ONCE, keep=["doc_id"]).select("doc_id", "error_type", "inflation_attention", "growth_outlook")
 
 
 @query(f"SELECT doc_id, 1::BIGINT AS n_signals, 0::BIGINT AS n_errors FROM {_CODED} WHERE n % 7 > 2 UNION ALL SELECT doc_id, 0, (CASE WHEN lang = 'en' THEN 2 ELSE 1 END)::BIGINT FROM {_CODED} WHERE n % 7 <= 2")

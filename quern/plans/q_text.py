@@ -111,4 +111,4 @@ def outlook_codes(spark, sf_dir):
 def offline_classifier(spark, sf_dir):
     from ..streaming import classify
 
-    return classify.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text", "timestamp_utc")
+    return classify.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", keep=["doc_id"]).drop("timestamp_utc")

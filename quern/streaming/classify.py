@@ -6,15 +6,17 @@ dictionary scorer stands in. No credentials live here.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import coders, lexicon
 from ..sources import shared, sinks
@@ -86,26 +88,49 @@ def offline(prompt: str) -> str:
     return json.dumps(out)
 
 
-def classify(rows: DataFrame, prompt: str, classifier: Callable[[str], str] = offline, retry: Retry = Retry(), pause: float = 0.0) -> DataFrame:
-    """``rows`` with the six codes, or error_type and error_message; and timestamp_utc. A row that fails doesn't stop the others."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + ", ".join(f"{v} int" for v in coders.VARIABLES) + ", error_type string, error_message string"
+#: Bytes of rows that are classified and handed back at a time.
+PIECE = 2 << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library than glibc
+    _trim = None
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about PIECE bytes each; memory is given back to the system behind each batch, as workers are kept between tasks."""
+    for batch in batches:
+        step = max(1, batch.num_rows * PIECE // max(batch.nbytes, 1))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+        del batch
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
+def classify(rows: DataFrame, prompt: str, classifier: Callable[[str], str] = offline, retry: Retry = Retry(), pause: float = 0.0, keep: list[str] | None = None) -> DataFrame:
+    """``rows`` (all columns, or those to ``keep``) with the six codes, or error_type and error_message; and timestamp_utc. A row that fails doesn't stop the others."""
+    at, kept = rows.columns.index(prompt), [i for i, c in enumerate(rows.columns) if keep is None or c in keep]
+    added = [*((v, IntegerType()) for v in coders.VARIABLES), ("error_type", StringType()), ("error_message", StringType())]
+    schema = StructType([*(StructField(rows.schema[i].name, rows.schema[i].dataType) for i in kept), *(StructField(*c) for c in added)])
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
             got = []
-            for p in batch[prompt]:
+            for p in piece.column(at):
                 try:
-                    record = retry.run(lambda p=p: validate(json.loads(classifier(p or ""))))
-                    got.append({**record, "error_type": None, "error_message": None})
+                    record = retry.run(lambda p=p: validate(json.loads(classifier(p.as_py() or ""))))
+                    got.append((*(record[v] for v in coders.VARIABLES), None, None))
                 except Exception as e:  # noqa: BLE001  a row's failure is its result
-                    got.append({**dict.fromkeys(coders.VARIABLES), "error_type": type(e).__name__, "error_message": str(e)[:1000]})
+                    got.append((*(None for _ in coders.VARIABLES), type(e).__name__, str(e)[:1000]))
                 if pause:
                     time.sleep(pause)
-            codes = pd.DataFrame(got, columns=[*coders.VARIABLES, "error_type", "error_message"], index=batch.index)
-            codes[coders.VARIABLES] = codes[coders.VARIABLES].astype("Int64")
-            yield pd.concat([batch, codes], axis=1)
+            codes = [pa.array(c, pa.string() if i >= len(coders.VARIABLES) else pa.int32()) for i, c in enumerate(zip(*got, strict=True))]
+            yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in kept), *codes], names)
 
-    return rows.mapInPandas(run, schema).withColumn("timestamp_utc", F.current_timestamp())
+    return rows.mapInArrow(run, schema).withColumn("timestamp_utc", F.current_timestamp())
 
 
 def split(results: DataFrame) -> tuple[DataFrame, DataFrame]:
