@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import ctypes
 import json
+import re
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -71,20 +73,70 @@ JSON_SCHEMA = {
 }
 
 
+_WORD = re.compile(r"\w+")
+#: What re.IGNORECASE takes for an ASCII letter, and str.lower() doesn't or as two characters.
+_FOLDS = [("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")]
+
+
+def _folded(prompt: str) -> str:
+    """In lower case as re.IGNORECASE sees ASCII letters, character by character, so terms are found by plain comparison."""
+    if not prompt.isascii():
+        for letter, as_letter in _FOLDS:
+            prompt = prompt.replace(letter, as_letter)
+    return prompt.lower()
+
+
+#: ASCII letters in lower case, and blanks for what ends a word; other bytes as they are.
+_ASCII = bytes(b if chr(b).isalnum() or b in b"_" or b > 127 else 32 for b in range(256)).lower()
+
+
+def _words(prompt: str) -> list[str]:
+    """The words of the folded prompt, in some order: ASCII by a table, and what touches other characters by the pattern of words."""
+    words = prompt.encode("utf-8", "surrogatepass").translate(_ASCII).decode("utf-8", "surrogatepass").split()
+    if prompt.isascii():
+        return words
+    others = " ".join(w for w in words if not w.isascii())
+    return [w for w in words if w.isascii()] + _WORD.findall(_folded(others))
+
+
+class _Terms:
+    """Whole terms in a prompt. Its words settle terms of one word; the pattern is asked only where all words of a longer term occur."""
+
+    def __init__(self, terms: list[str]):
+        words = {t: frozenset(_WORD.findall(t)) for t in terms}
+        self.single = frozenset(t for t in terms if t in words[t])
+        self.longer = [words[t] for t in terms if t not in words[t]]
+        self.words = frozenset().union(*words.values())
+        self.pattern = re.compile(lexicon.python_pattern(terms).pattern)
+
+    def _phrases(self, words: dict[str, int]) -> bool:
+        return any(w <= words.keys() for w in self.longer)
+
+    def found(self, prompt: str, words: dict[str, int]) -> bool:
+        return not self.single.isdisjoint(words) or (self._phrases(words) and bool(self.pattern.search(_folded(prompt))))
+
+    def count(self, prompt: str, words: dict[str, int]) -> int:
+        return len(self.pattern.findall(_folded(prompt))) if self._phrases(words) else sum(words[w] for w in self.single & words.keys())
+
+
 @cache
-def _patterns() -> tuple[dict, dict]:
-    topics = {k: lexicon.python_pattern(terms) for k, terms in lexicon.TOPIC_TERMS.items()}
-    return topics, {k: {side: lexicon.python_pattern(terms) for side, terms in sides.items()} for k, sides in lexicon.DIRECTION_TERMS.items()}
+def _vocabularies() -> tuple[dict, dict, frozenset]:
+    topics = {k: _Terms(terms) for k, terms in lexicon.TOPIC_TERMS.items()}
+    directions = {k: {side: _Terms(terms) for side, terms in sides.items()} for k, sides in lexicon.DIRECTION_TERMS.items()}
+    return topics, directions, frozenset().union(*(v.words for v in (*topics.values(), *(v for sides in directions.values() for v in sides.values()))))
 
 
 def offline(prompt: str) -> str:
     """The dictionary as a classifier: attention where a topic's terms occur, outlook by the sign of its directions."""
     names = {"inflation": "inflation", "growth": "growth", "financial_stability": "financial_stability", "uncertainty": "uncertainty"}
-    topics, directions = _patterns()
-    out = {f"{v}_attention": int(bool(topics[k].search(prompt))) for k, v in names.items()}
+    topics, directions, known = _vocabularies()
+    words = _words(prompt)
+    hits = known.intersection(set(words))
+    words = Counter(w for w in words if w in hits) if hits else {}
+    out = {f"{v}_attention": int(topics[k].found(prompt, words)) for k, v in names.items()}
     for k, sides in directions.items():
-        net = len(sides["up"].findall(prompt)) - len(sides["down"].findall(prompt))
-        out[f"{k}_outlook"] = (net > 0) - (net < 0) if out[f"{k}_attention"] else 0
+        net = sides["up"].count(prompt, words) - sides["down"].count(prompt, words) if out[f"{k}_attention"] else 0
+        out[f"{k}_outlook"] = (net > 0) - (net < 0)
     return json.dumps(out)
 
 
